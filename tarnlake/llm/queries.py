@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import decontaminate, near_duplicates, packing, quality, toxicity
+from tarnlake.llm import chat, decontaminate, licenses, near_duplicates, packing, pii, quality, secrets, toxicity
 from tarnlake.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,29 @@ def _query(f):
     return f
 
 
+@_query
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(read(spark, sf_dir, "documents")))
+
+
+@_query
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digest(chat.format_turns(chat.canonical(rows, "conv_id")))
+
+
+@_query
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(read(spark, sf_dir, "documents")))
+
+
 def encoder() -> tuple:
     """The tokenizer's file, and the same vocabulary as ranks for the faster library."""
     import public_tokenizers as public
@@ -72,8 +95,8 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 starts AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0),
 grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS gram FROM starts),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM both JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both.n >= 85 * (x.n + y.n - both.n)),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT a AS id, b AS other FROM edges UNION SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.other),
 least_of AS (SELECT id, least(id, min(other)) AS component FROM reach GROUP BY id)

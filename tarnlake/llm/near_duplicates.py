@@ -10,10 +10,10 @@
    smaller and equal, with the known set sizes; only pairs for which a similarity at the
    threshold is ``DOUBT`` log units less likely than the best one are dropped. The rest is
    verified on the full sets of both texts.
-5. Verified links give components. In buckets that still hold several components, all classes
-   outside the most frequent one are compared with all classes of other components, in blocks of
+5. Verified links give components. Where a bucket still holds several of them, all classes outside
+   the most frequent one are compared with all classes of other components, in blocks of
    ``BLOCK`` rows dealt over tasks, so that no link is lost to the choice of hubs; what the
-   likelihood leaves is verified and joins the components.
+   likelihood leaves is verified there, and joins the components.
 
 Words are runs without white space, A-Z lower-cased. Links have
 100 * intersection >= percent * union.
@@ -178,44 +178,75 @@ def buckets(classes: DataFrame, percent: int, *more: str) -> DataFrame:
     return classes.select("id", *more, F.posexplode(F.array(*values)).alias("band", "bucket"))
 
 
-def residual(classes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs between components within buckets of three classes or more. classes: id,
-    component, n_shingles, registers."""
-    n, rows = bands_of(percent)
-    placed = buckets(classes, percent, "component")
+def residual(classes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between components, of components, that hubs have not shown. classes: id,
+    component, n_shingles, registers.
+
+    A bucket that holds several components belongs to the group of its most frequent one. A
+    group's members are compared in cells of two blocks: all members, and those outside of that
+    component. In a cell the likelihood leaves the pairs that are verified on full sets."""
+    placed = buckets(classes, percent, "component").select("bucket", "id", "component")
     mixed = (
         placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        .groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("kinds"))
-        .where("kinds > 1 AND all > 2")
+        .groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("kinds"))
+        .where("kinds > 1 AND all > 2").select("bucket", "top")
     )
-    mixed = settle(mixed.select("bucket", "top", F.ceil(F.col("all") / BLOCK).cast("int").alias("wide"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("high")), "mixed")
-    within = buckets(classes, percent, "component", "n_shingles", "registers").join(mixed, "bucket")
+    members = placed.join(settle(mixed, "mixed"), "bucket").select("top", "id", (F.col("component") != F.col("top")).alias("outside")).distinct()
+    members = settle(members, "members")
+    sizes = members.groupBy("top").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("wide"), F.ceil(F.sum(F.col("outside").cast("int")) / BLOCK).cast("int").alias("high"))
+    sizes = settle(sizes, "groups")
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
+    needed = members.select("id").distinct().join(texts, "id").join(classes, "id").dropDuplicates(["id"])
+    needed = settle(needed.select("id", "component", "n_shingles", "registers", "text"), "needed")
     block = F.xxhash64("id", F.lit(1))
-    every = within.select("bucket", "band", F.pmod(block, F.col("wide")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("j"), F.lit(False).alias("outside"), "top", "id", "component", "n_shingles", "registers")
-    outside = within.where("component <> top").select("bucket", "band", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("i"), F.pmod(block, F.col("high")).cast("int").alias("j"), F.lit(True).alias("outside"), "top", "id", "component", "n_shingles", "registers")
+    own = members.join(sizes, "top")
+    every = own.select("top", F.pmod(block, F.col("wide")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("j"), F.lit(False).alias("outer"), "id")
+    outer = own.where("outside").select("top", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("i"), F.pmod(block, F.col("high")).cast("int").alias("j"), F.lit(True).alias("outer"), "id")
 
-    def pairs_of(group: list[pa.Table]) -> tuple[list[int], list[int]]:
+    def links_of(group: list[pa.Table]) -> tuple[list[int], list[int]]:
         table = pa.concat_tables(group)
-        out = table.column("outside").to_numpy()
+        top = table.column("top")[0].as_py()
+        out = table.column("outer").to_numpy()
         ids, comp, size = (table.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
-        top, band = table.column("top")[0].as_py(), table.column("band")[0].as_py()
-        regs = unpack(table.column("registers"))
-        every_at = np.flatnonzero(~out)
+        regs, texts = unpack(table.column("registers")), texts_of(table.column("text"))
+        sets: dict[int, np.ndarray] = {}
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        def set_of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_sets([texts[i]], k)[0]
+            return sets[i]
+
         left, right = [], []
-        for m in np.flatnonzero(out):
-            to = every_at[(comp[every_at] != comp[m]) & ((comp[every_at] == top) | (ids[every_at] > ids[m]))]
-            if not len(to):
-                continue
-            to = to[may_link(np.broadcast_to(regs[m], (len(to), REGISTERS)), regs[to], np.full(len(to), size[m]), size[to], percent)]
-            if len(to):  # only in the first band that both share
-                same = (regs[to, : n * rows] == regs[m, : n * rows]).reshape(len(to), n, rows).all(2)
-                to = to[same.argmax(1) == band]
-                left += [int(ids[m])] * len(to)
-                right += ids[to].tolist()
+        rest = np.flatnonzero(~out)
+        for m in np.flatnonzero(out).tolist():
+            own = find(int(comp[m]))
+            to = rest[(comp[rest] != comp[m]) & ((comp[rest] == top) | (ids[rest] > ids[m]))]
+            if len(to):
+                to = to[may_link(np.broadcast_to(regs[m], (len(to), REGISTERS)), regs[to], np.full(len(to), size[m]), size[to], percent)]
+            for t in to.tolist():
+                if find(int(comp[t])) == find(own):
+                    continue
+                x, y = set_of(m), set_of(t)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    left.append(int(comp[m]))
+                    right.append(int(comp[t]))
+                    root[find(own)] = find(int(comp[t]))
         return left, right
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
+
+        def done() -> pa.RecordBatch:
+            a, b = links_of(group)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
         for batch in batches:
             table = pa.Table.from_batches([batch])
             cells = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
@@ -224,17 +255,15 @@ def residual(classes: DataFrame, percent: int) -> DataFrame:
                 if i == len(cells) or cells[i] != cells[first]:
                     if cells[first] != key:
                         if group:
-                            a, b = pairs_of(group)
-                            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                            yield done()
                         key, group = cells[first], []
                     group.append(table.slice(first, i - first))
                     first = i
         if group:
-            a, b = pairs_of(group)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield done()
 
-    cells = ["bucket", "i", "j"]
-    dealt = every.union(outside).select(*cells, "outside", "top", "band", "id", "component", "n_shingles", "registers")
+    cells = ["top", "i", "j"]
+    dealt = every.union(outer).join(needed, "id").select(*cells, "outer", "id", "component", "n_shingles", "registers", "text")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, *cells).sortWithinPartitions(*cells).mapInArrow(run, "a long, b long").distinct()
 
@@ -253,12 +282,13 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     links = settle(verified(settle(likely(stars, sketches, percent), "likely"), documents, k, percent), "links")
     found = components(links)
     reached = sketches.join(found, "id", "left").select("id", "n_shingles", "registers", F.coalesce("component", "id").alias("component"))
-    more = settle(verified(settle(residual(reached, percent), "residual"), documents, k, percent), "more")
-    found = components(links.union(more))
-    for old in (links, more, sketches, hubs):
+    reached = settle(reached, "reached")
+    more = settle(residual(reached, documents, k, percent), "more")
+    joined = components(more).select(F.col("id").alias("component"), F.col("component").alias("joined"))
+    named = reached.select("id", "component").join(joined, "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
+    named = settle(classes.join(named, "id", "left").select("digest", F.coalesce("component", "id").alias("component")), "named")
+    for old in (links, more, sketches, hubs, reached):
         discard(old)
-    named = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    named = settle(named, "named")
     out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

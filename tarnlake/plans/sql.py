@@ -61,6 +61,8 @@ def check_core(plan) -> None:
         for i in range(expressions.size()):
             for e in _walk(expressions.apply(i)):
                 kind = _name(e)
+                if kind == "Not" and _name(e.children().apply(0)) == "EqualTo":
+                    continue  # how <> is parsed
                 if kind in BEYOND_EXPRESSIONS:
                     raise PlanError(f"strict: {kind} is outside the core dialect")
                 if kind == "UnresolvedFunction":

@@ -105,12 +105,14 @@ def blocks(benchmark: DataFrame, n: int) -> tuple[list[dict], list[str]]:
     return out, list(names)
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """Per document: doc_id, text, n_words, hits (runs of hit words) and items (names, sorted)."""
+def scan(documents: DataFrame, benchmark: DataFrame, n: int = 10, carry: list[str] | None = None) -> DataFrame:
+    """Per document: doc_id, text, n_words, hits (runs of hit words), items (names, sorted), and
+    the columns named in carry as one struct of that name."""
     small_batches(documents.sparkSession)
     parts, names = blocks(benchmark, n)
     none = {"hits": F.array().cast(HITS), "items": F.array().cast("array<string>")}
-    state = documents.select("doc_id", "text").withColumns({"n_words": F.lit(0).cast("long")} | none)
+    kept = [F.struct(*carry).alias("carry")] if carry else []
+    state = documents.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), *[c.alias(k) for k, c in none.items()], *kept)
 
     def with_block(patterns: dict):
         def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +130,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
                     counts.append(count)
                     hits.append([{"first": a, "length": b - a} for a, b in zip(first.tolist(), last.tolist(), strict=True)])
                     items.append(sorted({names[i] for i in found} | set(before)))
-                out = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hits, batch.schema.field(3).type), pa.array(items, batch.schema.field(4).type)]
+                out = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hits, batch.schema.field(3).type), pa.array(items, batch.schema.field(4).type), *batch.columns[5:]]
                 yield pa.RecordBatch.from_arrays(out, names=batch.schema.names)
 
         return scan_batches
@@ -140,6 +142,13 @@ def scan(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     return state
 
 
+def clean(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+    """The documents without a hit, with all their columns."""
+    rest = [c for c in documents.columns if c not in ("doc_id", "text")]
+    found = scan(documents, benchmark, n, rest).where(F.size("hits") == 0)
+    return found.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"carry.`{c}`") for c in documents.columns])
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """Digest of ``scan``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + x["length"])

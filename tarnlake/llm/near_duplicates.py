@@ -292,3 +292,14 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def representatives(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with one of each group of linked ones (the smallest doc_id, one row of it),
+    with all their columns. Rows with a null doc_id stay."""
+    found = settle(near_duplicates(documents, k, percent).select("doc_id", "kept"), "kept")
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
+    gone = settle(ids.where("rows > 1 OR NOT kept"), "gone")
+    once = documents.join(gone.select("doc_id"), "doc_id", "left_anti")
+    again = documents.join(gone.where("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(again).select(*documents.columns)

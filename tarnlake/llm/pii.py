@@ -101,9 +101,11 @@ def votes(kind: str, x: Column, before: Column, after: Column) -> dict[str, Colu
     return {"regex": regex, "gazetteer": vote(named | text.rlike(GIVEN), after.rlike(UNIT)), "before": vote(before.rlike(ANNOUNCE), before.rlike(AGAINST)), "shape": vote(shape_yes, shape_no)}
 
 
-def candidates(documents: DataFrame) -> DataFrame:
-    """doc_id and found: kind, start, end, base, votes of each candidate."""
+def candidates(documents: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id (and with carry the whole row as a struct, carry) and found: kind, start, end, base,
+    size and votes of each candidate."""
     text = F.coalesce("text", F.lit(""))
+    kept = [F.struct(*documents.columns).alias("carry")] if carry else []
     found = []
     for kind, pattern in PATTERNS.items():
         spans = matches(F.col("text"), pattern)
@@ -113,7 +115,8 @@ def candidates(documents: DataFrame) -> DataFrame:
             spans = F.when(F.contains("text", F.lit(NEEDS[kind])), spans).otherwise(F.array().cast(FOUND))
 
         found.append(F.transform(spans, _told(kind)))
-    return documents.select("doc_id", text.alias("text")).select("doc_id", F.concat(*found).alias("found"))
+    source = documents.select("doc_id", text.alias("text"), *kept)
+    return source.select("doc_id", *["carry"] * carry, F.concat(*found).alias("found"))
 
 
 def _told(kind: str):
@@ -191,9 +194,11 @@ def decide(x: Column, weights: dict[str, float]) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def find(documents: DataFrame) -> DataFrame:
-    """doc_id, base and more: arrays of spans (kind, start, end, probability)."""
-    held = settle(candidates(documents), "candidates")
+def find(documents: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, base and more: arrays of spans (kind, start, end, probability); with carry also the
+    whole row as a struct."""
+    held = settle(candidates(documents, carry), "candidates")
+    kept = ["carry"] * carry
     each = held.select(F.explode("found").alias("x")).select("x.*")
     counts = each.groupBy("kind", "size", *LABELERS).agg(F.count("*").alias("n")).collect()
     rows = sorted((r.kind, r["size"], tuple(r[k] for k in LABELERS), float(r.n)) for r in counts)
@@ -208,8 +213,8 @@ def find(documents: DataFrame) -> DataFrame:
 
     base = F.transform(F.filter("found", lambda x: x["base"]), span)
     rest = F.transform(F.filter("found", lambda x: ~x["base"] & ~x["kind"].isin("card", "ip", "phone")), span)
-    out = held.select("doc_id", base.alias("base"), rest.alias("rest"))
-    return out.select("doc_id", "base", F.filter("rest", lambda x: (x["probability"] >= 0.5) & ~overlaps(x, F.col("base"))).alias("more"))
+    out = held.select("doc_id", *kept, base.alias("base"), rest.alias("rest"))
+    return out.select("doc_id", *kept, "base", F.filter("rest", lambda x: (x["probability"] >= 0.5) & ~overlaps(x, F.col("base"))).alias("more"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -229,3 +234,10 @@ def mask(text: Column, spans: Column) -> Column:
 
     rest = F.aggregate(order, start, add, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
     return F.when(F.size(spans) > 0, rest).otherwise(text)
+
+
+def masked(documents: DataFrame) -> DataFrame:
+    """The documents with every span replaced by its kind, and n_chars (if there) counted anew."""
+    found = find(documents, carry=True).withColumn("masked", mask(F.col("carry.text"), F.concat("base", "more")))
+    new = {"text": F.col("masked"), "n_chars": F.when(F.col("carry.text").isNotNull(), F.length("masked")).otherwise(F.col("carry.n_chars"))} if "n_chars" in documents.columns else {"text": F.col("masked")}
+    return found.select(*[new.get(c, F.col(f"carry.`{c}`")).cast(documents.schema[c].dataType).alias(c) for c in documents.columns])

@@ -167,17 +167,17 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST) -> dict:
     return train(*labelled.sample(documents, labels, "quality", most))
 
 
-def apply(documents: DataFrame, model: dict) -> DataFrame:
-    """All columns of documents (doc_id and text among them), and score."""
+def apply(documents: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """All columns of documents (text among them), and the score under a name that they don't have."""
     small_batches(documents.sparkSession)
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = pa.array(predict(texts_of(batch.column(at)), model), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, name])
 
-    schema = documents.withColumn("score", F.lit(0.0)).schema
+    schema = documents.withColumn(name, F.lit(0.0)).schema
     return documents.mapInArrow(run, schema)
 
 

@@ -118,3 +118,55 @@ counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
 FROM v LEFT JOIN counts ON counts.a = vec_id LEFT JOIN least_of ON id = vec_id
 """
+
+_CONTROLS = ["<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<bos>", "<eos>", "<start_of_turn>", "<end_of_turn>"]
+
+
+def _escaped(column: str) -> str:
+    """The template's escapes of a column, in SQL."""
+    out = f"replace({column}, '\\', '\\\\')"
+    for c in _CONTROLS:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+ORACLES["op5_chat"] = f"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length(replace({_escaped('role')}, chr(10), '<|nl|>')) + 1 + length({_escaped('text')}) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+
+def _template_values() -> str:
+    rows = []
+    for label, text in licenses.TEMPLATES.items():
+        words = licenses.template_words(text)
+        rows += [f"('{label}', {i}, {len(words)}, '{' '.join(words[i : i + licenses.K])}')" for i in range(len(words) - licenses.K + 1)]
+    return ", ".join(rows)
+
+
+ORACLES["op1_licenses"] = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+phrases(phrase, label, n) AS (VALUES ('cc by', 'cc-by', 2), ('general public license', 'gpl', 3), ('all rights reserved', 'reserved', 3)),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+places AS (SELECT doc_id, label, i - 1 AS start FROM starts JOIN phrases ON w[i:i + n - 1] = string_split(phrase, ' ')),
+base AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
+templates(label, place, n, gram) AS (VALUES {_template_values()}),
+votes AS (SELECT doc_id, label, n, place, i - 1 AS pos FROM starts JOIN templates ON array_to_string(w[i:i + {licenses.K - 1}], ' ') = gram WHERE i + {licenses.K - 1} <= len(w)),
+diagonals AS (SELECT doc_id, label, pos - place AS diagonal, min(pos) AS first, max(pos) AS last, list(place) AS places, any_value(n) AS n FROM votes GROUP BY ALL),
+marked AS (SELECT *, coalesce(CAST(diagonal - lag(diagonal) OVER o > {licenses.SLACK} OR greatest(first, lag(first) OVER o) - least(last, lag(last) OVER o) > {licenses.REACH} AS INT), 1) AS new FROM diagonals WINDOW o AS (PARTITION BY doc_id, label ORDER BY diagonal, first)),
+parts AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, label ORDER BY diagonal, first ROWS UNBOUNDED PRECEDING) AS part FROM marked),
+merged AS (SELECT doc_id, label, part, min(first) AS first, max(last) + {licenses.K} AS last, flatten(list(places)) AS places, any_value(n) AS n FROM parts GROUP BY doc_id, label, part),
+covered AS (SELECT doc_id, label, n, last - first AS width, len(list_distinct(flatten(list_transform(places, lambda p: range(p, p + {licenses.K}))))) AS c FROM merged),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c / n) AS cover FROM covered WHERE c / n >= {licenses.COVER} AND c / width >= {licenses.DENSE} GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(cover, 0.0) END AS score
+FROM d LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN found ON found.doc_id = d.doc_id
+"""

@@ -33,6 +33,10 @@ BUCKETS = 1 << 17
 DIMS = 8
 PASSAGE = 4
 MOST = 1000
+#: Subwords in fewer texts of the sample aren't learned.
+SEEN = 3
+#: Steps of the embeddings, in units of their gradient's mean size: frequent subwords move more.
+RATE = 0.05
 #: ASCII punctuation parts words as white space does.
 PART = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
@@ -93,6 +97,10 @@ def train(rows: list[tuple[bytes, int]], share: float, epochs: int = 45, seed: i
     soft = rng.normal(0, 0.3, (DIMS, 2))  # the softmax layer; only the difference of its columns acts
     bias = np.zeros(2)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (emb, soft, bias)]
+    # a subword of one or two texts says nothing of others: it keeps no weight
+    spread = sum(np.bincount(np.unique(bucket[start[a]:start[b]]), minlength=BUCKETS) for _, bucket, start, doc in parts for a, b in zip(doc[:-1], doc[1:], strict=True))
+    common = spread >= SEEN
+    emb[~common] = 0
     balance = 0.5 / max(1, (1 - y).sum()), 0.5 / max(1, y.sum())
     for step in range(1, epochs + 1):
         lean = soft[:, 1] - soft[:, 0]
@@ -111,11 +119,12 @@ def train(rows: list[tuple[bytes, int]], share: float, epochs: int = 45, seed: i
             taken = np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)
             coef += np.bincount(bucket[taken], np.repeat(error / np.maximum(1, n), n), BUCKETS)
             slope += error.sum()
+        coef[~common] = 0
         pull = emb.T @ coef
         grads = [np.outer(coef, lean) + 1e-7 * emb, np.stack([-pull, pull], 1) + 1e-5 * soft, np.array([-slope, slope])]
-        for x, g, m, rate in zip((emb, soft, bias), grads, moments, (0.05, 0.02, 0.05), strict=True):
+        for x, g, m, rate in zip((emb, soft, bias), grads, moments, (RATE, 0.02, 0.05), strict=True):
             m[0] = 0.9 * m[0] + 0.1 * g
-            m[1] = 0.99 * m[1] + 0.01 * g * g
+            m[1] = 0.99 * m[1] + 0.01 * (g * g if x is not emb else (g * g).mean())
             x -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
     u = emb @ (soft[:, 1] - soft[:, 0])
     logits = np.concatenate([np.maximum.reduceat(passage_logits(u, bias[1] - bias[0], *p[1:3]), p[3][:-1]) for p in parts])

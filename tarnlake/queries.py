@@ -49,7 +49,8 @@ SQL: dict[str, tuple[str, str, str | None]] = {
     "agg_group_one_key": ("orders", "SELECT o_orderstatus, COUNT(*) AS c, ROUND(SUM(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus", None),
     "agg_group_multi_key": ("lineitem", "SELECT l_returnflag, l_linestatus, COUNT(*) AS c, MAX(l_tax) AS tax FROM lineitem GROUP BY l_returnflag, l_linestatus", None),
     "agg_group_int32_key": ("nation", "SELECT n_regionkey, COUNT(*) AS c FROM nation GROUP BY n_regionkey", None),
-    "agg_group_timestamp_key": ("events", "SELECT event_type, COUNT(*) AS c, ROUND(SUM(value), 4) AS v FROM events GROUP BY event_type", None),
+    "agg_group_timestamp_key": ("orders", "SELECT o_orderdate, COUNT(*) AS c FROM orders GROUP BY o_orderdate", None),
+    "agg_group_string_key": ("events", "SELECT event_type, COUNT(*) AS c, ROUND(SUM(value), 4) AS v FROM events GROUP BY event_type", None),
     "agg_group_expr_key": ("lineitem", "SELECT l_linenumber + 1 AS line, COUNT(*) AS c FROM lineitem GROUP BY l_linenumber + 1", None),
     "agg_over_expr": ("lineitem", f"SELECT l_returnflag, ROUND(SUM({REVENUE}), 2) AS revenue FROM lineitem GROUP BY l_returnflag", None),
     "agg_expr_over_aggs": ("lineitem", "SELECT l_returnflag, ROUND(SUM(l_quantity) / COUNT(*), 6) AS mean FROM lineitem GROUP BY l_returnflag", None),
@@ -65,13 +66,13 @@ SQL: dict[str, tuple[str, str, str | None]] = {
     "join_filter_both_sides": ("customer orders", "SELECT c.c_custkey, o.o_orderkey FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey WHERE c.c_acctbal > 5000 AND o.o_orderstatus = 'O' AND c.c_acctbal < o.o_totalprice", None),
     "join_qualified_star": ("nation region", "SELECT n.*, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey", None),
     "join_left": ("documents labels", "SELECT d.doc_id, d.lang, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id", None),
-    "join_null_keys": ("documents labels", "SELECT a.quality, COUNT(*) AS n FROM (SELECT NULLIF(quality, 0) AS quality FROM labels WHERE doc_id < 100) a JOIN (SELECT NULLIF(quality, 0) AS quality FROM labels WHERE doc_id < 100) b ON a.quality = b.quality GROUP BY a.quality", None),
+    "join_null_keys": ("documents labels", "SELECT a.quality, COUNT(*) AS n FROM (SELECT NULLIF(quality, 0) AS quality FROM labels) a JOIN (SELECT DISTINCT NULLIF(toxic, 1) + 1 AS quality FROM labels) b ON a.quality = b.quality GROUP BY a.quality", None),
     "sort_multi_asc_desc": ("orders", "SELECT o_orderstatus, o_orderpriority, o_orderkey FROM orders ORDER BY o_orderstatus ASC, o_orderpriority DESC, o_orderkey", None),
-    "sort_nulls_last": ("documents labels", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality DESC NULLS LAST, d.doc_id LIMIT 700", None),
-    "sort_nulls_first": ("documents labels", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality ASC NULLS FIRST, d.doc_id LIMIT 50", None),
+    "sort_nulls_last": ("documents labels", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality DESC NULLS LAST, d.doc_id", None),
+    "sort_nulls_first": ("documents labels", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality ASC NULLS FIRST, d.doc_id", None),
     "limit_topk": ("orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey ASC NULLS LAST LIMIT 10", None),
     "limit_zero": ("orders", "SELECT o_orderkey FROM orders LIMIT 0", None),
-    "sort_by_alias_of_agg": ("orders", "SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey ORDER BY total DESC NULLS LAST, o_custkey LIMIT 20", None),
+    "sort_by_alias_of_agg": ("orders", "SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey ORDER BY total DESC NULLS LAST, o_custkey", None),
     "join_group_sort_limit": ("nation customer orders", "SELECT n.n_name, ROUND(SUM(o.o_totalprice), 2) AS total FROM nation n JOIN customer c ON n.n_nationkey = c.c_nationkey JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY n.n_name ORDER BY total DESC NULLS LAST LIMIT 5", None),
     "tpch_q6_shape": ("lineitem", "SELECT ROUND(SUM(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP_NTZ '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP_NTZ '1997-01-01 00:00:00' AND l_discount >= 0.05 AND l_discount <= 0.07 AND l_quantity < 24", "SELECT ROUND(SUM(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' AND l_discount >= 0.05 AND l_discount <= 0.07 AND l_quantity < 24"),
     "tpch_q1_shape": ("lineitem", f"SELECT l_returnflag, l_linestatus, SUM(l_quantity) AS sum_qty, ROUND(SUM(l_extendedprice), 2) AS sum_base_price, ROUND(SUM({REVENUE}), 2) AS sum_disc_price, ROUND(SUM({REVENUE} * (1 + l_tax)), 2) AS sum_charge, ROUND(AVG(l_quantity), 6) AS avg_qty, ROUND(AVG(l_extendedprice), 4) AS avg_price, ROUND(AVG(l_discount), 6) AS avg_disc, COUNT(*) AS count_order FROM lineitem WHERE l_shipdate <= TIMESTAMP_NTZ '2001-08-01 00:00:00' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus", None),
@@ -108,15 +109,16 @@ def df_join_aggregate_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def df_join_null_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = Catalog(spark, sf_dir).table("labels").where("doc_id < 60").selectExpr("doc_id", "NULLIF(quality, 0) AS q")
-    pairs = op.join(labels.alias("a"), labels.alias("b"), [("a.q", "b.q")], null_safe=True)
+    labels = Catalog(spark, sf_dir).table("labels").selectExpr("doc_id", "NULLIF(quality, 0) AS q")
+    kinds = op.distinct(labels, "q")
+    pairs = op.join(labels.alias("a"), kinds.alias("b"), [("a.q", "b.q")], null_safe=True)
     return op.aggregate(pairs, [("a.q", "q")], [Aggregate("count", name="n")])
 
 
 FRAMES = {
     "df_scan_filter_project": (df_scan_filter_project, "SELECT l_orderkey, l_extendedprice * 2 AS double_price, l_partkey // 10 AS bin FROM lineitem WHERE l_quantity >= 49 AND l_tax < l_discount"),
     "df_join_aggregate_top": (df_join_aggregate_top, "SELECT c_mktsegment, COUNT(*) AS orders, MAX(o_totalprice) AS largest, COUNT(DISTINCT o_custkey) AS customers FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment ORDER BY orders DESC, c_mktsegment LIMIT 3"),
-    "df_join_null_safe": (df_join_null_safe, "SELECT a.q, COUNT(*) AS n FROM (SELECT NULLIF(quality, 0) AS q FROM labels WHERE doc_id < 60) a JOIN (SELECT NULLIF(quality, 0) AS q FROM labels WHERE doc_id < 60) b ON a.q IS NOT DISTINCT FROM b.q GROUP BY a.q"),
+    "df_join_null_safe": (df_join_null_safe, "SELECT a.q, COUNT(*) AS n FROM (SELECT NULLIF(quality, 0) AS q FROM labels) a JOIN (SELECT DISTINCT NULLIF(quality, 0) AS q FROM labels) b ON a.q IS NOT DISTINCT FROM b.q GROUP BY a.q"),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _sql_query(tables, sql) for name, (tables, sql, _) in SQL.items()}

@@ -4,8 +4,9 @@ Texts are normalised to words (A-Z lower-cased, words are runs of letters, digit
 non-ASCII character). A text is scanned once; a hit's place is its word numbers, which ``word_spans`` maps back to
 code points of the original.
 
-The benchmark is gathered up to ``MAX_PATTERN_WORDS`` words of distinct windows; a larger one is
-scanned in several passes, each with an automaton within that bound, that add to the hits.
+The benchmark reaches the driver in blocks of ``MAX_PATTERN_WORDS`` words of windows; one of
+several blocks is scanned in as many passes, each with an automaton of one block, that add to
+the hits.
 
 Defined results: null, empty and wordless texts have no words and no hits; null and repeated
 item ids count as one item (null as the string "null"); repeated documents are scanned as often
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import ALNUM, settle, small_batches, texts_of
+from tarnlake.llm.common import ALNUM, discard, settle, small_batches, texts_of
 
 #: Words of the windows that one automaton may hold: about 120 MB in a worker.
 MAX_PATTERN_WORDS = 500_000
@@ -51,12 +52,12 @@ def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Scanner:
-    """The automaton of one block of windows: {window: item numbers}.
+    """The automaton of one block of windows: {window: names of its items}.
 
     Patterns and texts are words with one space before, between and behind them, so that a hit
     can't start or end inside a word. UTF-8 bytes are the alphabet (as Latin-1 characters)."""
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[int]]):
+    def __init__(self, patterns: dict[tuple[bytes, ...], list[str]]):
         self.auto = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         for window, items in patterns.items():
             self.auto.add_word(self._spaced(window), (len(window), tuple(items)))
@@ -68,8 +69,8 @@ class Scanner:
     def _spaced(w) -> str:
         return b" ".join((b"", *w, b"")).decode("latin-1")
 
-    def scan(self, text: bytes) -> tuple[int, np.ndarray, set[int]]:
-        """Words, which of them are hit (empty array: none), and the item numbers found."""
+    def scan(self, text: bytes) -> tuple[int, np.ndarray, set[str]]:
+        """Words, which of them are hit (empty array: none), and the items found."""
         w = words(text)
         hit, found = np.zeros(0, bool), set()
         if not self.patterns or not w:
@@ -86,30 +87,32 @@ class Scanner:
         return len(w), hit, found
 
 
-def blocks(benchmark: DataFrame, n: int) -> tuple[list[dict], list[str]]:
-    """The benchmark's windows, in blocks that fit one automaton each, and the items' names."""
-    names: dict[str, int] = {}
-    out: list[dict] = [{}]
-    held = 0
+def blocks(benchmark: DataFrame, n: int) -> Iterator[dict[tuple[bytes, ...], list[str]]]:
+    """The benchmark's windows and the names of the items that hold them, in blocks that fit one
+    automaton each; the driver holds one at a time. Without windows one empty block."""
+    block: dict[tuple[bytes, ...], list[str]] = {}
+    held, more = 0, False
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
     for row in rows.toLocalIterator():
-        number = names.setdefault("null" if row.i is None else row.i, len(names))
+        name = "null" if row.i is None else row.i
         for window in windows((row.t or "").encode(), n):
-            if window not in out[-1] and held + len(window) > MAX_PATTERN_WORDS:
-                out.append({})
-                held = 0
-            held += len(window) if window not in out[-1] else 0
-            items = out[-1].setdefault(window, [])
-            if number not in items:
-                items.append(number)
-    return out, list(names)
+            size = 1 if window in block else len(window)
+            if held and held + size > MAX_PATTERN_WORDS:
+                yield block
+                block, held, more = {}, 0, True
+                size = len(window)
+            names = block.setdefault(window, [])
+            if name not in names[-1:]:
+                names.append(name)
+                held += size
+    if block or not more:
+        yield block
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, n: int = 10, carry: list[str] | None = None) -> DataFrame:
     """Per document: doc_id, text, n_words, hits (runs of hit words), items (names, sorted), and
     the columns named in carry as one struct of that name."""
     small_batches(documents.sparkSession)
-    parts, names = blocks(benchmark, n)
     none = {"hits": F.array().cast(HITS), "items": F.array().cast("array<string>")}
     kept = [F.struct(*carry).alias("carry")] if carry else []
     state = documents.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), *[c.alias(k) for k, c in none.items()], *kept)
@@ -129,16 +132,20 @@ def scan(documents: DataFrame, benchmark: DataFrame, n: int = 10, carry: list[st
                     first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
                     counts.append(count)
                     hits.append([{"first": a, "length": b - a} for a, b in zip(first.tolist(), last.tolist(), strict=True)])
-                    items.append(sorted({names[i] for i in found} | set(before)))
+                    items.append(sorted(found | set(before)))
                 out = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hits, batch.schema.field(3).type), pa.array(items, batch.schema.field(4).type), *batch.columns[5:]]
                 yield pa.RecordBatch.from_arrays(out, names=batch.schema.names)
 
         return scan_batches
 
-    for i, part in enumerate(parts):
-        if i:
+    before = None
+    for part in blocks(benchmark, n):
+        if before is not None:
             state = settle(state, "decontaminate")
+            discard(before)
+            before = state
         state = state.mapInArrow(with_block(part), state.schema)
+        before = state if before is None else before
     return state
 
 

@@ -179,8 +179,8 @@ def buckets(classes: DataFrame, percent: int, *more: str) -> DataFrame:
 
 
 def residual(classes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between components, of components, that hubs have not shown. classes: id,
-    component, n_shingles, registers.
+    """Links (a, b) between components, of components, that hubs have not shown, as a settled
+    table. classes: id, component, n_shingles, registers.
 
     A bucket that holds several components belongs to the group of its most frequent one. A
     group's members are compared in cells of two blocks: all members, and those outside of that
@@ -191,7 +191,8 @@ def residual(classes: DataFrame, documents: DataFrame, k: int, percent: int) ->
         .groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("kinds"))
         .where("kinds > 1 AND all > 2").select("bucket", "top")
     )
-    members = placed.join(settle(mixed, "mixed"), "bucket").select("top", "id", (F.col("component") != F.col("top")).alias("outside")).distinct()
+    mixed = settle(mixed, "mixed")
+    members = placed.join(mixed, "bucket").select("top", "id", (F.col("component") != F.col("top")).alias("outside")).distinct()
     members = settle(members, "members")
     sizes = members.groupBy("top").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("wide"), F.ceil(F.sum(F.col("outside").cast("int")) / BLOCK).cast("int").alias("high"))
     sizes = settle(sizes, "groups")
@@ -265,7 +266,10 @@ def residual(classes: DataFrame, documents: DataFrame, k: int, percent: int) ->
     cells = ["top", "i", "j"]
     dealt = every.union(outer).join(needed, "id").select(*cells, "outer", "id", "component", "n_shingles", "registers", "text")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, *cells).sortWithinPartitions(*cells).mapInArrow(run, "a long, b long").distinct()
+    found = settle(dealt.repartition(parts, *cells).sortWithinPartitions(*cells).mapInArrow(run, "a long, b long").distinct(), "more")
+    for old in (mixed, members, sizes, needed):
+        discard(old)
+    return found
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -279,15 +283,16 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     placed = buckets(sketches, percent).select("bucket", "id")
     hubs = settle(placed.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", "bucket")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub"), "hubs")
     stars = placed.join(hubs, "bucket").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = settle(verified(settle(likely(stars, sketches, percent), "likely"), documents, k, percent), "links")
+    pairs = settle(likely(stars, sketches, percent), "likely")
+    links = settle(verified(pairs, documents, k, percent), "links")
     found = components(links)
     reached = sketches.join(found, "id", "left").select("id", "n_shingles", "registers", F.coalesce("component", "id").alias("component"))
     reached = settle(reached, "reached")
-    more = settle(residual(reached, documents, k, percent), "more")
+    more = residual(reached, documents, k, percent)
     joined = components(more).select(F.col("id").alias("component"), F.col("component").alias("joined"))
     named = reached.select("id", "component").join(joined, "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
     named = settle(classes.join(named, "id", "left").select("digest", F.coalesce("component", "id").alias("component")), "named")
-    for old in (links, more, sketches, hubs, reached):
+    for old in (pairs, links, more, sketches, hubs, reached, classes):
         discard(old)
     out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

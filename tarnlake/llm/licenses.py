@@ -5,7 +5,8 @@ license templates (a table of a few thousand rows, whose size is checked before
 A match votes for its diagonal, the word number in the text less that in the template. Votes are
 counted for each text, template and diagonal; neighbouring diagonals (at most ``SLACK`` words
 apart, for words added or left out) whose spans lie within ``REACH`` words are merged. A merged
-span is verified: the template words that its votes cover must be ``COVER`` of the template and
+span is verified: the template words that its votes cover must be ``COVER`` of the template
+(``SHORT_COVER`` of one under ``SHORT`` words, as short notices share most of their words) and
 ``DENSE`` of the span's own words. (Two of a thousand billion k-grams share a 64-bit hash by chance
 less than once in ten million, and a span needs many.)
 
@@ -32,23 +33,41 @@ K = 4
 SLACK = 3
 REACH = 40
 COVER = 0.5
+SHORT = 20
+SHORT_COVER = 0.8
 DENSE = 0.5
 MOST_TEMPLATE_WORDS = 1_000_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Openings and notices of well-known public licenses.
+#: Openings and notices of well-known public licenses; of one label there may be several forms.
 TEMPLATES = {
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
-    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
-    "cc-by-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "cc-by-sa-notice": "This work is licensed under the Creative Commons Attribution ShareAlike License",
-    "reserved-notice": "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher",
+    "mit": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "Released under the MIT License",
+    ),
+    "apache-2.0": (
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Licensed under the Apache License, Version 2.0",
+    ),
+    "bsd": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Released under the BSD License",
+    ),
+    "gpl-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "Licensed under the GNU General Public License, version 3",
+    ),
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+        "Licensed under the Mozilla Public License, version 2.0",
+    ),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",),
+    "unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",),
+    "cc-by-notice": ("This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0"),
+    "cc-by-sa-notice": ("This work is licensed under the Creative Commons Attribution ShareAlike License", "Licensed under CC BY-SA 4.0"),
+    "cc-by-nc-notice": ("This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0"),
+    "reserved-notice": ("No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher",),
 }
 
 
@@ -56,16 +75,23 @@ def template_words(text: str) -> list[str]:
     return re.sub(SEPARATORS, " ", re.sub("[A-Z]", lambda m: m[0].lower(), text)).split()
 
 
-def template_rows(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """gram (hash), label, place and n (words of the template) of every template k-gram."""
+def template_grams(templates: dict[str, tuple[str, ...]]) -> list[tuple[str, int, int, int, list[str]]]:
+    """(label, number of its form, place, words of the form, k-gram) of every k-gram."""
     rows = []
-    for label, text in templates.items():
-        w = template_words(text)
-        rows += [(label, i, len(w), w[i : i + K]) for i in range(len(w) - K + 1)]
+    for label, forms in templates.items():
+        for form, text in enumerate(forms):
+            w = template_words(text)
+            rows += [(label, form, i, len(w), w[i : i + K]) for i in range(len(w) - K + 1)]
+    return rows
+
+
+def template_rows(spark: SparkSession, templates: dict[str, tuple[str, ...]]) -> DataFrame:
+    """gram (hash), label, form, place and n (words of the form) of every template k-gram."""
+    rows = template_grams(templates)
     if len(rows) > MOST_TEMPLATE_WORDS:
         raise ValueError(f"{len(rows)} template places; at most {MOST_TEMPLATE_WORDS} are broadcast")
-    table = spark.createDataFrame(rows, "label string, place int, n int, words array<string>")
-    return table.select(F.xxhash64(*[F.col("words")[i] for i in range(K)]).alias("gram"), "label", "place", "n")
+    table = spark.createDataFrame(rows, "label string, form int, place int, n int, words array<string>")
+    return table.select(F.xxhash64(*[F.col("words")[i] for i in range(K)]).alias("gram"), "label", "form", "place", "n")
 
 
 def words_of(text: Column) -> Column:
@@ -96,16 +122,16 @@ def _places(words: Column, parts: list[str], label: str) -> Column:
 
 
 def votes(documents: DataFrame, templates: DataFrame) -> DataFrame:
-    """doc_id, mark (of the text), label, place, n, at: k-gram matches."""
+    """doc_id, mark (of the text), label, form, place, n, at: k-gram matches."""
     text = documents.select("doc_id", F.xxhash64("text").alias("mark"), words_of(F.col("text")).alias("w")).where(F.size("w") >= K)
     grams = F.transform(F.sequence(F.lit(0), F.size("w") - K), lambda i: F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(K)]))
-    return text.select("doc_id", "mark", F.posexplode(grams).alias("at", "gram")).join(F.broadcast(templates), "gram").select("doc_id", "mark", "label", "place", "n", "at")
+    return text.select("doc_id", "mark", F.posexplode(grams).alias("at", "gram")).join(F.broadcast(templates), "gram").select("doc_id", "mark", "label", "form", "place", "n", "at")
 
 
 def spans(documents: DataFrame, templates: DataFrame) -> DataFrame:
-    """doc_id, mark, label, first, last (words, end exclusive), votes, cover, verified."""
+    """doc_id, mark, label, form, first, last (words, end exclusive), votes, cover, verified."""
     matched = votes(documents, templates).distinct()
-    text = ["doc_id", "mark", "label"]
+    text = ["doc_id", "mark", "label", "form"]
     diagonals = matched.groupBy(*text, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set("place").alias("places"), F.count("*").alias("votes"), F.first("n").alias("n"))
     order = Window.partitionBy(*text).orderBy("diagonal", "first")
     far = (F.col("diagonal") - F.lag("diagonal").over(order) > SLACK) | (F.greatest("first", F.lag("first").over(order)) - F.least("last", F.lag("last").over(order)) > REACH)
@@ -114,10 +140,11 @@ def spans(documents: DataFrame, templates: DataFrame) -> DataFrame:
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + K - 1)))))
     cover = covered / F.col("n")
     dense = covered / (F.col("last") - F.col("first"))
-    return merged.select(*text, "first", "last", "votes", cover.alias("cover"), ((cover >= COVER) & (dense >= DENSE)).alias("verified"))
+    enough = cover >= F.when(F.col("n") < SHORT, SHORT_COVER).otherwise(COVER)
+    return merged.select(*text, "first", "last", "votes", cover.alias("cover"), (enough & (dense >= DENSE)).alias("verified"))
 
 
-def scan(documents: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+def scan(documents: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     table = template_rows(documents.sparkSession, TEMPLATES if templates is None else templates)
     found = spans(documents, table).where("verified").groupBy("doc_id", "mark").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover"))

@@ -143,11 +143,7 @@ FROM rows GROUP BY conv_id
 
 
 def _template_values() -> str:
-    rows = []
-    for label, text in licenses.TEMPLATES.items():
-        words = licenses.template_words(text)
-        rows += [f"('{label}', {i}, {len(words)}, '{' '.join(words[i : i + licenses.K])}')" for i in range(len(words) - licenses.K + 1)]
-    return ", ".join(rows)
+    return ", ".join(f"('{label}', {form}, {i}, {n}, '{' '.join(gram)}')" for label, form, i, n, gram in licenses.template_grams(licenses.TEMPLATES))
 
 
 ORACLES["op1_licenses"] = f"""
@@ -156,14 +152,14 @@ phrases(phrase, label, n) AS (VALUES ('cc by', 'cc-by', 2), ('general public lic
 starts AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 places AS (SELECT doc_id, label, i - 1 AS start FROM starts JOIN phrases ON w[i:i + n - 1] = string_split(phrase, ' ')),
 base AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
-templates(label, place, n, gram) AS (VALUES {_template_values()}),
-votes AS (SELECT doc_id, label, n, place, i - 1 AS pos FROM starts JOIN templates ON array_to_string(w[i:i + {licenses.K - 1}], ' ') = gram WHERE i + {licenses.K - 1} <= len(w)),
-diagonals AS (SELECT doc_id, label, pos - place AS diagonal, min(pos) AS first, max(pos) AS last, list(place) AS places, any_value(n) AS n FROM votes GROUP BY ALL),
-marked AS (SELECT *, coalesce(CAST(diagonal - lag(diagonal) OVER o > {licenses.SLACK} OR greatest(first, lag(first) OVER o) - least(last, lag(last) OVER o) > {licenses.REACH} AS INT), 1) AS new FROM diagonals WINDOW o AS (PARTITION BY doc_id, label ORDER BY diagonal, first)),
-parts AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, label ORDER BY diagonal, first ROWS UNBOUNDED PRECEDING) AS part FROM marked),
-merged AS (SELECT doc_id, label, part, min(first) AS first, max(last) + {licenses.K} AS last, flatten(list(places)) AS places, any_value(n) AS n FROM parts GROUP BY doc_id, label, part),
+templates(label, form, place, n, gram) AS (VALUES {_template_values()}),
+votes AS (SELECT doc_id, label, form, n, place, i - 1 AS pos FROM starts JOIN templates ON array_to_string(w[i:i + {licenses.K - 1}], ' ') = gram WHERE i + {licenses.K - 1} <= len(w)),
+diagonals AS (SELECT doc_id, label, form, pos - place AS diagonal, min(pos) AS first, max(pos) AS last, list(place) AS places, any_value(n) AS n FROM votes GROUP BY ALL),
+marked AS (SELECT *, coalesce(CAST(diagonal - lag(diagonal) OVER o > {licenses.SLACK} OR greatest(first, lag(first) OVER o) - least(last, lag(last) OVER o) > {licenses.REACH} AS INT), 1) AS new FROM diagonals WINDOW o AS (PARTITION BY doc_id, label, form ORDER BY diagonal, first)),
+parts AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, label, form ORDER BY diagonal, first ROWS UNBOUNDED PRECEDING) AS part FROM marked),
+merged AS (SELECT doc_id, label, part, min(first) AS first, max(last) + {licenses.K} AS last, flatten(list(places)) AS places, any_value(n) AS n FROM parts GROUP BY doc_id, label, form, part),
 covered AS (SELECT doc_id, label, n, last - first AS width, len(list_distinct(flatten(list_transform(places, lambda p: range(p, p + {licenses.K}))))) AS c FROM merged),
-found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c / n) AS cover FROM covered WHERE c / n >= {licenses.COVER} AND c / width >= {licenses.DENSE} GROUP BY doc_id)
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c / n) AS cover FROM covered WHERE c / n >= CASE WHEN n < {licenses.SHORT} THEN {licenses.SHORT_COVER} ELSE {licenses.COVER} END AND c / width >= {licenses.DENSE} GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,

@@ -32,9 +32,9 @@ def test_base_equals_brute_force(spark):
 
 
 def test_diagonals(spark):
-    w = licenses.template_words(licenses.TEMPLATES["mit"])
+    w = licenses.template_words(licenses.TEMPLATES["mit"][0])
     changed = w[:20] + ["oddly"] + w[20:35] + w[37:50] + ["other"] + w[51:]
-    texts = ["some words before " + " ".join(w), " ".join(changed), " ".join(w[:12]), " ".join(w[::-1]), " ".join(w[:9] + ["filler"] * 200 + w[9:18]), "x. " + licenses.TEMPLATES["apache-2.0"].upper() + " " + " ".join(w)]
+    texts = ["some words before " + " ".join(w), " ".join(changed), " ".join(w[:12]), " ".join(w[::-1]), " ".join(w[:9] + ["filler"] * 200 + w[9:18]), "x. " + licenses.TEMPLATES["apache-2.0"][0].upper() + " " + " ".join(w)]
     got = [r for r in licenses.scan(table(spark, texts)).orderBy("doc_id").collect()]
     assert [r.labels for r in got] == ["mit", "mit", "", "", "", "apache-2.0,mit"]
     assert got[0].score == 1.0 and 0.5 <= got[1].score < 1 and got[2].score == 0
@@ -42,8 +42,14 @@ def test_diagonals(spark):
     assert (span["first"], span["last"]) == (3, 3 + len(w))
 
 
+def test_short_notices(spark):
+    texts = ["A text. Released under the MIT License. More.", "Licensed under the MIT License", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0", "This work is licensed under the", "released under the moon", "licensed under the apache"]
+    got = [r.labels for r in licenses.scan(table(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["mit", "mit", "apache-2.0", "gpl,gpl-notice", "cc-by,cc-by-nc-notice", "cc-by,cc-by-notice", "", "", ""]
+
+
 def test_odd_rows(spark):
-    rows = odd_rows(spark).union(table(spark, [licenses.TEMPLATES["isc"]] * 2, 50)).union(table(spark, [licenses.TEMPLATES["isc"]], 50))
+    rows = odd_rows(spark).union(table(spark, [*licenses.TEMPLATES["isc"]] * 2, 50)).union(table(spark, [*licenses.TEMPLATES["isc"]], 50))
     got = licenses.scan(rows).collect()
     assert len(got) == 11
     by_id = {r.doc_id: r for r in got}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.llm import decontaminate, near_duplicates, packing, pii, quality
-from tarnlake.llm.common import discard, read, settle
+from tarnlake.llm.common import discard, quoted, read, settle
 from tarnlake.llm.queries import encoder
 
 QUALITY_THRESHOLD = 0.3
@@ -20,7 +20,7 @@ QUALITY_THRESHOLD = 0.3
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least the threshold; the model learns from labels of docs."""
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
-    return quality.apply(docs, model, "quality_score_").where(F.col("quality_score_") >= QUALITY_THRESHOLD).select(*docs.columns)
+    return quality.apply(docs, model, "quality_score_").where(F.col("quality_score_") >= QUALITY_THRESHOLD).select(*quoted(docs.columns))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import ALNUM, discard, settle, small_batches, texts_of
+from tarnlake.llm.common import ALNUM, discard, quoted, settle, small_batches, texts_of
 
 #: Words of the windows that one automaton may hold: about 120 MB in a worker.
 MAX_PATTERN_WORDS = 500_000
@@ -114,7 +114,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, n: int = 10, carry: list[st
     the columns named in carry as one struct of that name."""
     small_batches(documents.sparkSession)
     none = {"hits": F.array().cast(HITS), "items": F.array().cast("array<string>")}
-    kept = [F.struct(*carry).alias("carry")] if carry else []
+    kept = [F.struct(*quoted(carry)).alias("carry")] if carry else []
     state = documents.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), *[c.alias(k) for k, c in none.items()], *kept)
 
     def with_block(patterns: dict):
@@ -153,7 +153,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """The documents without a hit, with all their columns."""
     rest = [c for c in documents.columns if c not in ("doc_id", "text")]
     found = scan(documents, benchmark, n, rest).where(F.size("hits") == 0)
-    return found.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"carry.`{c}`") for c in documents.columns])
+    return found.select(*[F.col(c) if c in ("doc_id", "text") else F.col("carry").getField(c).alias(c) for c in documents.columns])
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:

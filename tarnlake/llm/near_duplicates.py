@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import LOWER, discard, settle, small_batches, texts_of
+from tarnlake.llm.common import LOWER, discard, quoted, settle, small_batches, texts_of
 from tarnlake.llm.components import components
 from tarnlake.llm.vectors import chunks, shingles, words
 
@@ -307,4 +307,4 @@ def representatives(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     gone = settle(ids.where("rows > 1 OR NOT kept"), "gone")
     once = documents.join(gone.select("doc_id"), "doc_id", "left_anti")
     again = documents.join(gone.where("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).select(*documents.columns)
+    return once.unionByName(again).select(*quoted(documents.columns))

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import settle
+from tarnlake.llm.common import quoted, settle
 from tarnlake.llm.spans import FOUND, listed, matches, number, overlaps
 
 BASE = ["email", "ip", "card", "phone"]
@@ -105,7 +105,7 @@ def candidates(documents: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id (and with carry the whole row as a struct, carry) and found: kind, start, end, base,
     size and votes of each candidate."""
     text = F.coalesce("text", F.lit(""))
-    kept = [F.struct(*documents.columns).alias("carry")] if carry else []
+    kept = [F.struct(*quoted(documents.columns)).alias("carry")] if carry else []
     found = []
     for kind, pattern in PATTERNS.items():
         spans = matches(F.col("text"), pattern)
@@ -240,4 +240,4 @@ def masked(documents: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind, and n_chars (if there) counted anew."""
     found = find(documents, carry=True).withColumn("masked", mask(F.col("carry.text"), F.concat("base", "more")))
     new = {"text": F.col("masked"), "n_chars": F.when(F.col("carry.text").isNotNull(), F.length("masked")).otherwise(F.col("carry.n_chars"))} if "n_chars" in documents.columns else {"text": F.col("masked")}
-    return found.select(*[new.get(c, F.col(f"carry.`{c}`")).cast(documents.schema[c].dataType).alias(c) for c in documents.columns])
+    return found.select(*[new.get(c, F.col("carry").getField(c)).cast(documents.schema[c].dataType).alias(c) for c in documents.columns])

@@ -175,10 +175,11 @@ def apply(documents: DataFrame, model: dict, name: str = "score") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = pa.array(predict(texts_of(batch.column(at)), model), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, "score"])
 
-    schema = documents.withColumn(name, F.lit(0.0)).schema
-    return documents.mapInArrow(run, schema)
+    plain = documents.toDF(*(f"c{i}" for i in range(len(documents.columns))))
+    schema = plain.withColumn("score", F.lit(0.0)).schema
+    return plain.mapInArrow(run, schema).toDF(*documents.columns, name)
 
 
 def score(documents: DataFrame, labels: DataFrame, most: int = MOST, threshold: float = 0.3) -> DataFrame:

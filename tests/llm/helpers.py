@@ -13,7 +13,7 @@ def clashing(documents):
     """Extra columns whose names operators use themselves."""
     from pyspark.sql import functions as F
 
-    return documents.withColumns({n: F.lit(7) for n in ("score", "hits", "found", "base", "n", "id", "key", "ids", "items", "digest", "w", "label", "registers", "component", "bucket")})
+    return documents.withColumns({n: F.lit(7) for n in ("score", "hits", "found", "base", "n", "id", "key", "ids", "items", "digest", "w", "label", "registers", "component", "bucket", "carry", "c0", "quality_score", "with.dot", "with`tick")})
 
 
 def odd_rows(spark):

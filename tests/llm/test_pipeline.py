@@ -4,6 +4,7 @@ import corpus_pipeline as cp
 from tarnlake.llm import quality
 from tarnlake.llm.common import settle
 
+from .helpers import clashing, odd_rows, table
 from .test_decontaminate import brute as hits
 from .test_near_duplicates import brute as groups
 from .test_spans import CHECKS, brute as spans
@@ -51,3 +52,21 @@ def test_stages(spark):
 
     packed = steps["packing"](spark, masked, SF).collect()
     assert {r.doc_id for r in packed} == set(old) and len(before) > len(old)
+
+
+def test_odd_rows(spark):
+    """Every stage takes nulls, repeated rows, no rows and extra columns, and returns the columns of its input."""
+    docs = clashing(odd_rows(spark).union(table(spark, ["one two three four five six +1 (617) 555-1234", "another text of a few words"], 20)))
+    ids = sorted(str(r.doc_id) for r in docs.collect())
+    for rows in (docs, docs.limit(0)):
+        full = not rows.isEmpty()
+        for name, stage in cp.STAGES[:-1]:
+            out = settle(stage(spark, rows, SF), "t")
+            assert out.columns == docs.columns, name
+            got = sorted(str(r.doc_id) for r in out.collect())
+            assert set(got) <= set(ids) and (bool(got) == full or name == "quality classifier"), name
+            if full and name == "near-duplicates":
+                assert got.count("4") == 1 and "None" in got and {"1", "2", "3", "5", "6"} <= set(got)
+            if full and name == "PII":
+                assert got == ids and any(r.text == "one two three four five six [PHONE]" for r in out.collect()) and any(r.text is None for r in out.collect())
+        assert bool(cp.STAGES[-1][1](spark, rows, SF).count()) == full

@@ -111,3 +111,17 @@ def test_randomness(spark):
     spans = [r.spans for r in secrets.digest(secrets.find(table(spark, [f"x {s} y" for s in secret + dull]))).orderBy("doc_id").collect()]
     assert sum(s.startswith("random:2:") for s in spans[:30]) >= 27
     assert sum(bool(s) for s in spans[30:]) == 0
+
+
+def test_random_values_behind_an_equals_sign(spark):
+    import random
+
+    rng = random.Random(5)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "auth={}", "private_key={}", "https://h.example/f?sig={}", "https://h.example/f?a=1&sig={}&b=2", "x={}==", "x=={}"]
+    values = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(5 * len(forms))]
+    texts = [forms[i % len(forms)].format(v) for i, v in enumerate(values)]
+    found = [r.spans.split(",") for r in secrets.digest(secrets.find(table(spark, texts))).orderBy("doc_id").collect()]
+    want = [f"random:{t.index(v)}:{t.index(v) + 40 + 2 * t.endswith('==')}" for t, v in zip(texts, values, strict=True)]
+    hit = [w in f for w, f in zip(want, found, strict=True)]
+    assert sum(hit) >= 32 and all(any(hit[i :: len(forms)]) for i in range(len(forms)))

@@ -25,6 +25,18 @@ def test_fast_ids_equal_the_tokenizer(spark, both):
     assert all(fast(t) == exact(t) for t in texts)
 
 
+def test_special_strings_are_ordinary_text(both):
+    """Held against the call that public_tokenizers' README gives, made here and not by Encoder."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(encoder()[0])
+    own.encode_special_tokens = True
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x"):
+        ids = own.encode(text, add_special_tokens=False).ids
+        assert 50256 not in ids and own.decode(ids) == text
+        assert all(np.frombuffer(e(text), "<u2").tolist() == ids for e in both)
+
+
 def check(rows, want, size):
     """rows: pieces; want: list of id arrays by doc_id (a repeated id occurs as often)."""
     total = collections.Counter()

@@ -223,14 +223,15 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def mask(text: Column, spans: Column) -> Column:
-    """The text with each span (by start) replaced by [KIND]; of overlapping spans the first counts."""
+    """The text with each span (by start) replaced by [KIND]; of a span that starts within
+    an earlier one only what lies behind that is left to replace."""
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
     def add(acc: Column, x: Column) -> Column:
-        between = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
+        between = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
         done = F.struct(x["end"].alias("at"), F.concat(acc["out"], between, F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out"))
-        return F.when(x["start"] >= acc["at"], done).otherwise(acc)
+        return F.when(x["end"] > acc["at"], done).otherwise(acc)
 
     rest = F.aggregate(order, start, add, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
     return F.when(F.size(spans) > 0, rest).otherwise(text)

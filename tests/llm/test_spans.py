@@ -101,6 +101,11 @@ def test_mask(spark):
     assert [r.m for r in masked] == ["é [EMAIL] and [PHONE].", None, "none"]
 
 
+def test_mask_of_overlapping_spans(spark):
+    texts = ["x bob@mail.com-4111 1111 1111 1111 y", "4111111111111111@mail.com z"]
+    assert [r.text for r in pii.masked(table(spark, texts)).orderBy("doc_id").collect()] == ["x [EMAIL][CARD] y", "[CARD][EMAIL] z"]
+
+
 def test_randomness(spark):
     import random
 

@@ -9,7 +9,7 @@ A range is packed by itself, which makes one pass over the texts and one shuffle
 (two bytes each). Full sequences have ``size`` tokens; the last tokens of a range fill sequences
 of falling powers of two, so that nothing is padded. ``sequence_id`` is range * 2**32 + number.
 
-The range bounds come from at most about ``SAMPLE`` documents, chosen by a hash of the id. They
+The range bounds come from about ``SAMPLE`` documents, chosen by a hash of id and text. They
 decide only how evenly rows are dealt: ties of copies are parted by doc_id, and every document is
 packed whatever the bounds are.
 
@@ -190,6 +190,13 @@ def _packed(size: int):
     return run
 
 
+def sampled(source: DataFrame, share: float) -> DataFrame:
+    """About that share of the rows (doc_id, text). Spark's hash skips nulls, so that they are
+    flagged: rows of nulls alone would all have its seed, and be chosen at any size."""
+    mark = F.xxhash64("doc_id", F.isnull("doc_id"), "text", F.isnull("text"))
+    return source.where(F.pmod(mark, F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def pack(documents: DataFrame, encoder: tuple, size: int = SIZE) -> DataFrame:
     """Pieces of all documents, encoded by Encoder(*encoder): doc_id, start, length, ids (little-endian 32-bit), doc_tokens,
     sequence_id, offset."""
@@ -199,8 +206,7 @@ def pack(documents: DataFrame, encoder: tuple, size: int = SIZE) -> DataFrame:
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = source.count()
     share = min(1.0, SAMPLE / max(rows, 1))
-    chosen = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = chosen.mapInArrow(_encoded(encoder, None), "doc_id long, key long, n long").collect()
+    sample = sampled(source, share).mapInArrow(_encoded(encoder, None), "doc_id long, key long, n long").collect()
     bounds: list[tuple[int, int]] = []
     if sample:
         order = sorted((r.key, LEAST if r.doc_id is None else r.doc_id, r.n + 200) for r in sample)

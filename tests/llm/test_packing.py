@@ -73,6 +73,19 @@ def test_odd_rows(spark, both):
     assert pk.pack(table(spark, []), encoder()).count() == 0
 
 
+@pytest.mark.parametrize("id_of", [lambda i: None, lambda i: 7, lambda i: i])
+def test_sample_of_null_and_repeated_ids(spark, monkeypatch, id_of):
+    tokenised = []
+    choose = pk.sampled
+    monkeypatch.setattr(pk, "SAMPLE", 100)
+    monkeypatch.setattr(pk, "sampled", lambda source, share: tokenised.append(choose(source, share)) or tokenised[-1])
+    rows = [(id_of(i), f"text {i}") for i in range(2000)]
+    assert pk.pack(spark.createDataFrame(rows, "doc_id long, text string"), encoder()).count() >= 2000
+    assert 50 <= tokenised[0].count() <= 150
+    nulls = spark.createDataFrame([(None, None)] * 100, "doc_id long, text string")
+    assert choose(nulls, 0.001).count() == 0
+
+
 def test_hilbert_is_a_curve():
     bits = 3
     points = np.array([[i, j, k] for i in range(8) for j in range(8) for k in range(8)])

@@ -1,19 +1,22 @@
 """PII by weak supervision: labelers vote on candidate spans, EM weighs them, a classifier decides.
 
 Candidates are found by wide patterns: the base kinds (email, ip, card, phone) whether or not
-their checks pass, and names, handles, addresses, account and identity numbers. Four labelers
-vote 1 (personal), -1 (not) or 0 on each:
+their checks pass, and names behind a title, given names with a surname, handles, addresses,
+national phone numbers, account and identity numbers. Four labelers vote 1 (personal), -1 (not)
+or 0 on each:
 
 - regex: the strict form of the kind, with its checks (Luhn, ranges, digit counts);
 - gazetteer: titles, given names, street words, account countries, mail hosts; units against;
-- before: words in the 32 characters before that announce personal data, or versions and pages;
+- before: words in the 32 characters before (the match before included, what lies before that not)
+  that announce personal data, or versions and pages;
 - shape: dates, decimals and runs of one digit against; digit counts of the kind in favour.
 
 Votes are few patterns, so that their counts (at most 3**4 for each kind) are all the driver sees.
 Expectation-maximisation with conditionally independent labelers gives each labeler's vote
 distribution and each pattern's posterior. A logistic span classifier over votes, kind and length
-is trained on the posteriors, and decides on candidates beyond the base spans, which always stay;
-candidates that overlap a base span are dropped.
+is trained on the posteriors, and decides on every candidate that isn't a base span, those of the
+base kinds that fail their checks among them; base spans always stay, and candidates that overlap
+one are dropped. Every step is linear in a text and its matches.
 
 All of it is DataFrame expressions; candidates are written once to the shared folder.
 
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.llm.common import quoted, settle
-from tarnlake.llm.spans import FOUND, listed, matches, number, overlaps
+from tarnlake.llm.spans import FOUND, apart, bind, blocks, listed, matches, number, running
 
 BASE = ["email", "ip", "card", "phone"]
 #: Patterns that find what the contract's do, in linear time: a match can start only where a run
@@ -43,17 +46,22 @@ PATTERNS = {
     "handle": r"(?<![A-Za-z0-9._%+@-])@[A-Za-z0-9_]{3,30}+(?![A-Za-z0-9_.@])",
     "address": r"(?<![0-9])[0-9]{1,5}+\x20(?:\p{Lu}\p{L}{1,20}+\x20){1,2}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Boulevard|Blvd)(?!\p{L})",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "person": r"(?<!\p{L})(?:James|John|Mary|Anna|Maria|Peter|Paul|Thomas|Michael|Sarah|Laura|David|Hans|Klaus|Jean|Pierre|Marie|José|Carlos|Juan|Sofia|Emma|Lucas)\x20\p{Lu}\p{Ll}{1,30}+(?!\p{L})",
+    "national": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,5}\)\x20?|0[0-9]{2,4}[\x20/-])[0-9]{3,4}[\x20-]?[0-9]{3,5}(?![0-9A-Za-z-])",
     "identity": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 KINDS = list(PATTERNS)
 #: What a text must hold for a kind's search to be worthwhile.
-NEEDS = {"email": "@", "handle": "@", "phone": "+", "ip": "."}
+NEEDS = {"email": "@", "handle": "@", "phone": "+", "ip": ".", "identity": "-"}
 LABELERS = ["regex", "gazetteer", "before", "shape"]
 
 ANNOUNCE = r"(?i)(?:phone|tel|call|fax|mobile|contact|mail|name|account|iban|card|visa|ssn|passport|address|lives|born|host|client|téléphone|telefon|teléfono|konto|cuenta|compte|courriel|correo|adresse|dirección)[^\p{L}]{0,6}(?:\p{L}{1,8}[^\p{L}]{1,3})?$"
 AGAINST = r"(?i)(?:version|release|page|chapter|section|isbn|issn|figure|table|line|build|seite|kapitel|capítulo|página|chapitre)[^\p{L}]{0,4}$"
+#: Given names of the gazetteer; those of the pattern of persons are the same.
 GIVEN = r"(?i)(?<!\p{L})(?:james|john|mary|anna|maria|peter|paul|thomas|michael|sarah|laura|david|hans|klaus|jean|pierre|marie|josé|carlos|juan|sofia|emma|lucas)(?!\p{L})"
 TITLE = r"^(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sr|Sra)"
+#: Least probability of the classifier for a span beyond the base ones.
+LEAST = 0.5
 COUNTRY = r"^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)"
 HOST = r"@(?:mail|gmail|outlook|yahoo|proton|web|gmx|example)"
 UNIT = r"(?i)^\x20?(?:%|km|kg|mm|cm|ms|eur|usd|€|\$|mb|gb)(?!\p{L})"
@@ -64,6 +72,7 @@ def digits(x: Column) -> Column:
 
 
 def luhn(number: Column) -> Column:
+    """Of a string of at most 19 digits."""
     n = F.length(number)
     each = F.transform(F.sequence(F.lit(1), n), lambda i: F.when((n - i) % 2 == 0, F.substring(number, i, F.lit(1)).cast("int")).otherwise(F.element_at(F.array(*[F.lit(d * 2 % 10 + d * 2 // 10) for d in range(10)]), F.substring(number, i, F.lit(1)).cast("int") + 1)))
     return F.aggregate(each, F.lit(0), lambda a, b: a + b) % 10 == 0
@@ -74,8 +83,8 @@ def at_most_255(part: Column) -> Column:
     return (F.length(short) < 3) | ((F.length(short) == 3) & (short <= "255"))
 
 
-def strict(kind: str, text: Column) -> Column:
-    own = digits(text)
+def strict(kind: str, text: Column, own: Column) -> Column:
+    """Whether a match of a kind passes the contract's checks; own: its digits."""
     size = F.length(own)
     if kind == "card":
         return F.when(size.between(12, 19), luhn(own)).otherwise(False)
@@ -90,14 +99,16 @@ def vote(yes: Column, no: Column) -> Column:
     return F.when(no, -1).when(yes, 1).otherwise(0).cast("int")
 
 
-def votes(kind: str, x: Column, before: Column, after: Column) -> dict[str, Column]:
-    text, own = x["text"], digits(x["text"])
+def votes(kind: str, x: Column) -> dict[str, Column]:
+    """Of a candidate with text, own (its digits), good (whether its checks pass), before and after."""
+    text, own, good, before, after = x["text"], x["own"], x["good"], x["before"], x["after"]
     never = F.lit(False)
-    good = strict(kind, text)
-    regex = vote(good if kind in (*BASE, "account", "identity", "address") else never, ~good)
-    named = {"name": text.rlike(TITLE), "handle": never, "address": F.lit(True), "account": text.rlike(COUNTRY), "email": text.rlike(HOST)}.get(kind, never)
+    if kind == "national":
+        good = F.length(own).between(9, 13)
+    regex = vote(good if kind in (*BASE, "account", "identity", "address", "national") else never, ~good)
+    named = {"name": text.rlike(TITLE), "person": F.lit(True), "handle": never, "address": F.lit(True), "account": text.rlike(COUNTRY), "email": text.rlike(HOST)}.get(kind, never)
     shape_no = text.rlike(r"^(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}") | own.rlike(r"^([0-9])\1{6,}$")
-    shape_yes = {"email": F.lit(True), "card": F.length(own).between(13, 16), "phone": F.length(own).between(10, 13), "ip": F.lit(True), "account": F.length(text) >= 15, "name": text.rlike(r"\x20\p{Lu}\p{L}+\x20\p{Lu}"), "identity": F.lit(True), "address": F.lit(True)}.get(kind, never)
+    shape_yes = {"email": F.lit(True), "card": F.length(own).between(13, 16), "phone": F.length(own).between(10, 13), "ip": F.lit(True), "account": F.length(text) >= 15, "name": text.rlike(r"\x20\p{Lu}\p{L}+\x20\p{Lu}"), "person": F.lit(True), "national": F.length(own).between(9, 12), "identity": F.lit(True), "address": F.lit(True)}.get(kind, never)
     return {"regex": regex, "gazetteer": vote(named | text.rlike(GIVEN), after.rlike(UNIT)), "before": vote(before.rlike(ANNOUNCE), before.rlike(AGAINST)), "shape": vote(shape_yes, shape_no)}
 
 
@@ -109,11 +120,8 @@ def candidates(documents: DataFrame, carry: bool = False) -> DataFrame:
     found = []
     for kind, pattern in PATTERNS.items():
         spans = matches(F.col("text"), pattern)
-        if kind == "card":  # shorter runs of digits pass no check, and are too many to vote on
-            spans = F.filter(spans, lambda x: F.length(x["text"]) >= 12)
         if kind in NEEDS:
             spans = F.when(F.contains("text", F.lit(NEEDS[kind])), spans).otherwise(F.array().cast(FOUND))
-
         found.append(F.transform(spans, _told(kind)))
     source = documents.select("doc_id", text.alias("text"), *kept)
     return source.select("doc_id", *["carry"] * carry, F.concat(*found).alias("found"))
@@ -123,12 +131,17 @@ def _told(kind: str):
     """A found span as a candidate with its votes."""
 
     def told(x: Column) -> Column:
-        first = F.greatest(x["start"] - 32, F.lit(0))
-        before = F.substring(F.col("text"), (first + 1).cast("int"), (x["start"] - first).cast("int"))
-        after = F.substring(F.col("text"), (x["end"] + 1).cast("int"), F.lit(8))
-        size = F.least(F.lit(4), F.floor(F.length(x["text"]) / 8)).cast("int")
-        base = strict(kind, x["text"]) if kind in BASE else F.lit(False)
-        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), base.alias("base"), size.alias("size"), *[v.alias(k) for k, v in votes(kind, x, before, after).items()])
+        own = digits(x["text"]) if kind in ("card", "phone", "national") else F.lit("")
+        return bind(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), own.alias("own"), x["before"].alias("before"), F.substring(x["after"], 1, 8).alias("after")), checked)
+
+    def checked(x: Column) -> Column:
+        good = strict(kind, x["text"], x["own"])
+        return bind(F.struct(*[x[n].alias(n) for n in ("start", "end", "text", "own", "before", "after")], good.alias("good")), judged)
+
+    def judged(x: Column) -> Column:
+        size = F.least(F.lit(4), F.floor((x["end"] - x["start"]) / 8)).cast("int")
+        base = x["good"] if kind in BASE else F.lit(False)
+        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), base.alias("base"), size.alias("size"), *[v.alias(k) for k, v in votes(kind, x).items()])
 
     return told
 
@@ -212,9 +225,9 @@ def find(documents: DataFrame, carry: bool = False) -> DataFrame:
         return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.when(x["base"], 1.0).otherwise(decide(x, weights)).alias("probability"))
 
     base = F.transform(F.filter("found", lambda x: x["base"]), span)
-    rest = F.transform(F.filter("found", lambda x: ~x["base"] & ~x["kind"].isin("card", "ip", "phone")), span)
+    rest = F.filter(F.transform(F.filter("found", lambda x: ~x["base"]), span), lambda x: x["probability"] >= LEAST)
     out = held.select("doc_id", *kept, base.alias("base"), rest.alias("rest"))
-    return out.select("doc_id", *kept, "base", F.filter("rest", lambda x: (x["probability"] >= 0.5) & ~overlaps(x, F.col("base"))).alias("more"))
+    return out.select("doc_id", *kept, "base", apart(F.col("rest"), F.col("base")).alias("more"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -225,16 +238,31 @@ def digest(found: DataFrame) -> DataFrame:
 def mask(text: Column, spans: Column) -> Column:
     """The text with each span (by start) replaced by [KIND]; of a span that starts within
     an earlier one only what lies behind that is left to replace."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
-    def add(acc: Column, x: Column) -> Column:
-        between = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
-        done = F.struct(x["end"].alias("at"), F.concat(acc["out"], between, F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out"))
-        return F.when(x["end"] > acc["at"], done).otherwise(acc)
+    def cut(x: Column) -> Column:
+        done = running(F.transform(x["order"], lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        told = F.transform(F.arrays_zip(x["order"].alias("s"), done.alias("at")), lambda z: F.struct(z["at"].alias("at"), *[z["s"][k].alias(k) for k in ("start", "end", "kind")]))
+        return bind(F.struct(x["text"].alias("text"), F.filter(told, lambda z: z["end"] > z["at"]).alias("told")), joined)
+
+    def joined(x: Column) -> Column:
+        # the text of a block of spans is taken out first: substring() walks from a string's start
+        pieces = F.transform(blocks(x["told"]), lambda part: _pieces(x["text"], part))
+        last = F.get(x["told"], F.size(x["told"]) - 1)["end"]
+        return F.concat(F.array_join(pieces, ""), F.substring(x["text"], (last + 1).cast("int"), F.length(x["text"])))
+
+    return F.when(F.size(spans) > 0, bind(F.struct(text.alias("text"), order.alias("order")), cut)).otherwise(text)
+
+
+def _pieces(text: Column, part: Column) -> Column:
+    first = F.get(part, F.lit(0))["at"]
+    own = F.substring(text, (first + 1).cast("int"), (F.get(part, F.size(part) - 1)["start"] - first).cast("int"))
+
+    def each(x: Column) -> Column:
+        # of spans that overlap, the second has nothing between
+        return F.array_join(F.transform(x["part"], lambda z: F.concat(F.substring(x["own"], (z["at"] - x["first"] + 1).cast("int"), F.greatest(z["start"] - z["at"], F.lit(0)).cast("int")), F.lit("["), F.upper(z["kind"]), F.lit("]"))), "")
 
-    rest = F.aggregate(order, start, add, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+    return bind(F.struct(own.alias("own"), first.alias("first"), part.alias("part")), each)
 
 
 def masked(documents: DataFrame) -> DataFrame:

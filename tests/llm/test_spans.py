@@ -1,7 +1,11 @@
 """op4 and op7 against Python's regular expressions, used as the contract states them."""
 
+import collections
 import hashlib
+import math
+import random
 import re
+import time
 
 import pytest
 
@@ -106,25 +110,109 @@ def test_mask_of_overlapping_spans(spark):
     assert [r.text for r in pii.masked(table(spark, texts)).orderBy("doc_id").collect()] == ["x [EMAIL][CARD] y", "[CARD][EMAIL] z"]
 
 
-def test_randomness(spark):
-    import random
+def test_mask_of_many_spans(spark):
+    parts = [("é word ", ""), ("a.b@mail.com", "[EMAIL]"), (" 日 ", ""), ("+1 (743) 555-3824", "[PHONE]"), (", ", "")]
+    text, want = ("".join(p[0] for p in parts) * 900, "".join(p[1] or p[0] for p in parts) * 900)
+    assert pii.masked(table(spark, [text])).first().text == want
+
+
+def test_many_matches_take_linear_time(spark):
+    documents = table(spark, ["12.5 " * 60_000, "a@b.cc " * 40_000])
+    began = time.time()
+    rows = {r.doc_id: r for r in pii.digest(pii.find(documents)).collect()}
+    assert rows[1].n_email == 40_000 and rows[0].n_card == 0 and rows[1].spans.startswith("email:0:6,email:7:13,")
+    assert time.time() - began < 60
+
+
+def test_national_numbers_and_given_names(spark):
+    texts = [f"Please call (617) 555-12{i:02} today" for i in range(30)] + [f"ask Anna Schmidt{chr(97 + i)} about it" for i in range(20)] + ["in 1999 we had 0 items"] * 20
+    spans = [r.spans for r in pii.digest(pii.find(table(spark, texts))).orderBy("doc_id").collect()]
+    assert all(s == "national:12:26" for s in spans[:30]) and all(s == "person:4:17" for s in spans[30:50])
+    assert spans[50:] == [""] * 20
+
+
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+DULL = ["internationalization2ofeverything", "getElementsByClassName2", "Donaudampfschifffahrtsgesellschaft", "user-profile-settings-v2", "2024-01-15T10-20-30Z", "some_long_identifier_name", "en/articles/2020/some-title-of-it", "z" * 40 + "1"]
+
+
+def scores(tokens):
+    """The battery, written out for single tokens: the bin of each."""
+    from statistics import NormalDist
+
+    tail = lambda z: 1 - NormalDist().cdf(z)
+    out = []
+    for t in tokens:
+        body = t.replace("-", "+").replace("_", "/").rstrip("=")
+        form, alphabet, (first, second) = next(e for e in secrets.ENCODINGS.values() if re.search(e[0], body))
+        at = [alphabet.index(c if alphabet != alphabet.lower() else c.lower()) + 1 for c in body]
+        n, size = len(at), len(alphabet)
+        mean = n * (n - 1) / (2 * size)
+        pairs = sum(v * (v - 1) / 2 for v in collections.Counter(at).values())
+        groups = [g for g in (first, second, size - first - second) if g]
+        seen = collections.Counter(0 if v <= first else 1 if second and v <= first + second else 2 for v in at)
+        chi = sum((seen[k] - n * g / size) ** 2 / (n * g / size) for k, g in zip((0, 1, 2) if second else (0, 2), groups, strict=True))
+        high = [v * 2 > size for v in at]
+        n1, n2 = sum(high), n - sum(high)
+        expected = 2 * n1 * n2 / n + 1
+        runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+        p_runs = 2.0 ** (1 - n) if not n1 * n2 else 2 * tail(abs(runs - expected) / max(1e-9, (expected - 1) * (expected - 2) / (n - 1)) ** 0.5)
+        middle = sum(at) / n
+        square = sum((v - middle) ** 2 for v in at)
+        cross = sum((a - middle) * (b - middle) for a, b in zip(at, at[1:]))
+        serial = 0.0 if square < 1e-6 else 2 * tail(abs((cross / square + 1 / n) * n**0.5))
+        ps = [tail((pairs - mean) / (mean * (1 - 1 / size)) ** 0.5), math.exp(-chi / 2) if second else 2 * tail(chi**0.5), p_runs, serial]
+        half = -sum(math.log(max(min(p, 1), 1e-40)) for p in ps)
+        p = min(1.0, math.exp(-half) * (1 + half + half**2 / 2 + half**3 / 6))
+        out.append(min(secrets.STEPS - 1, -math.log10(max(p, 1e-38)) * 10))
+    return out
+
+
+def test_battery_equals_single_tokens(spark):
+    rng = random.Random(2)
+    tokens = ["".join(rng.choice(a) for _ in range(n)) for n in (16, 25, 40, 90) for a in (ALPHABET, ALPHABET[:62], ALPHABET[26:62], "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(6)] + [d for d in DULL if "Z" not in d]
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame(list(enumerate(tokens)), "i int, t string").select("i", (-F.log10(F.greatest(secrets.p_random(F.col("t")), F.lit(1e-38))) * 10).alias("x")).orderBy("i").collect()
+    assert all(abs(r.x - min(x, 380.0)) < 0.05 + 0.01 * x or x > 120 < r.x for r, x in zip(got, scores(tokens), strict=True))
+
 
+def test_randomness(spark):
     rng = random.Random(3)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    secret = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (40, 64, 88, 40, 60) * 6]
-    dull = ["internationalization2internationalization"[: 30 + i % 10] + "1" for i in range(20)] + ["zzzzzzzzzzzzzzzzzzzzzzzz1zzzzzzzzzzzzz"] * 10
+    secret = ["".join(rng.choice(ALPHABET) for _ in range(n)) for n in (40, 64, 88, 40, 60) * 6]
+    dull = DULL * 4
     spans = [r.spans for r in secrets.digest(secrets.find(table(spark, [f"x {s} y" for s in secret + dull]))).orderBy("doc_id").collect()]
     assert sum(s.startswith("random:2:") for s in spans[:30]) >= 27
-    assert sum(bool(s) for s in spans[30:]) == 0
+    assert sum(bool(s) for s in spans[30:]) <= 2
 
 
-def test_random_values_behind_an_equals_sign(spark):
-    import random
+def test_short_random_tokens(spark):
+    rng = random.Random(7)
+    secret = ["".join(rng.choice(ALPHABET[:62]) for _ in range(20)) for _ in range(60)]
+    spans = [r.spans for r in secrets.digest(secrets.find(table(spark, [f"DB_PASS: '{s}'" for s in secret] + [f"x {d} y" for d in DULL * 2]))).orderBy("doc_id").collect()]
+    assert sum(s == "random:10:30" for s in spans[:60]) >= 20
+    assert sum(bool(s) for s in spans[60:]) <= 2
+
+
+def test_discoveries_are_bounded():
+    texts = {(0, b): 100 * (b >= 5) for b in range(100)}
+    found = secrets.first_text({(0, b): (40 if b < 5 else 10) for b in range(100)}, texts)[0]
+    assert found == 5 and secrets.first_text({(0, b): 10 for b in range(100)}, texts)[0] == 0
+    assert secrets.first_text({}, {}) == dict.fromkeys(range(len(secrets.STRATA)), 0)
 
+
+def test_very_long_tokens(spark):
+    rng = random.Random(11)
+    big = ["".join(rng.choices(ALPHABET[:62], k=n)) for n in (5_000, 1_000_000)] + ["word" * 250_000]
+    began = time.time()
+    rows = secrets.digest(secrets.find(table(spark, [f"x {t} y" for t in big]))).orderBy("doc_id").collect()
+    assert [r.spans for r in rows] == ["random:2:5002", "random:2:1000002", ""]
+    assert time.time() - began < 90
+
+
+def test_random_values_behind_an_equals_sign(spark):
     rng = random.Random(5)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     forms = ["AWS_SECRET_ACCESS_KEY={}", "auth={}", "private_key={}", "https://h.example/f?sig={}", "https://h.example/f?a=1&sig={}&b=2", "x={}==", "x=={}"]
-    values = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(5 * len(forms))]
+    values = ["".join(rng.choice(ALPHABET[:62]) for _ in range(40)) for _ in range(5 * len(forms))]
     texts = [forms[i % len(forms)].format(v) for i, v in enumerate(values)]
     found = [r.spans.split(",") for r in secrets.digest(secrets.find(table(spark, texts))).orderBy("doc_id").collect()]
     want = [f"random:{t.index(v)}:{t.index(v) + 40 + 2 * t.endswith('==')}" for t, v in zip(texts, values, strict=True)]

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch for texts: bounds a Python worker's memory at some MB of text.
+#: Rows and bytes of texts that a Python worker has on its hands at once (a longer text alone).
 TEXT_ROWS = 500
+TEXT_BYTES = 1 << 23
 
 UPPER = bytes(range(65, 91))
 #: Lower-cases A-Z and nothing else; UTF-8 bytes of other letters stay.
@@ -26,12 +31,15 @@ BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local session
+    gets a temporary one; on a cluster that is an error, as no folder of one machine would do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tarnlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -60,9 +68,27 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Bound the rows of an Arrow batch before a Python stage over texts is planned."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batches in views of at most TEXT_ROWS rows and about TEXT_BYTES of a text column, so
+    that what a worker makes of them is bounded too. (Spark bounds a batch's own bytes.)"""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < batch.num_rows:
+            held = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, held + TEXT_BYTES, "right")))
+            last = min(last, first + TEXT_ROWS, batch.num_rows)
+            yield batch.slice(first, last - first)
+            first = last
+
+
+#: Bytes of a shuffle partition that tasks of this library aim at.
+TASK_BYTES = 64 << 20
+
+
+def task_count(spark: SparkSession, size: int) -> int:
+    """Partitions for that many bytes: the session's number, and more where they would be large."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the benchmark's word windows.
 
 Texts are normalised to words (A-Z lower-cased, words are runs of letters, digits and any
-non-ASCII character). A text is scanned once; a hit's place is its word numbers, which ``word_spans`` maps back to
-code points of the original.
+non-ASCII character). A text is scanned once; hits are runs of words, and ``spans`` are their
+places in the original, in code points.
 
-The benchmark reaches the driver in blocks of ``MAX_PATTERN_WORDS`` words of windows; one of
-several blocks is scanned in as many passes, each with an automaton of one block, that add to
-the hits.
+The benchmark's words go to every worker, which makes the automaton. One that would hold more than
+``MAX_PATTERN_WORDS`` words of windows (some 120 MB) is made in parts: the same pass over the texts
+then holds ``HELD_BYTES`` of them at a time and lets each part scan those. Only a benchmark of more
+than ``PASS_BYTES`` of words, which one task's closure shouldn't carry, takes several passes.
 
 Defined results: null, empty and wordless texts have no words and no hits; null and repeated
 item ids count as one item (null as the string "null"); repeated documents are scanned as often
@@ -16,7 +17,6 @@ gives no hits, an empty document table no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -25,11 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import ALNUM, discard, quoted, settle, small_batches, texts_of
+from tarnlake.llm.common import ALNUM, discard, quoted, settle, sliced, texts_of
 
 #: Words of the windows that one automaton may hold: about 120 MB in a worker.
 MAX_PATTERN_WORDS = 500_000
+#: Bytes of texts that wait while the parts of a large automaton are made one after the other.
+HELD_BYTES = 1 << 25
+#: Bytes of the benchmark's words that one pass takes to the workers.
+PASS_BYTES = 1 << 28
 HITS = "array<struct<first:long,length:long>>"
+SPANS = "array<struct<start:long,end:long>>"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -52,7 +57,7 @@ def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Scanner:
-    """The automaton of one block of windows: {window: names of its items}.
+    """The automaton of windows: {window: names of its items}.
 
     Patterns and texts are words with one space before, between and behind them, so that a hit
     can't start or end inside a word. UTF-8 bytes are the alphabet (as Latin-1 characters)."""
@@ -86,69 +91,128 @@ class Scanner:
             found.update(i for _, (_, items) in hits for i in items)
         return len(w), hit, found
 
+    def scan_all(self, texts: list[bytes]) -> list[tuple[int, np.ndarray, set[str]]]:
+        return [self.scan(text) for text in texts]
 
-def blocks(benchmark: DataFrame, n: int) -> Iterator[dict[tuple[bytes, ...], list[str]]]:
-    """The benchmark's windows and the names of the items that hold them, in blocks that fit one
-    automaton each; the driver holds one at a time. Without windows one empty block."""
-    block: dict[tuple[bytes, ...], list[str]] = {}
+
+Items = list[tuple[str, bytes]]
+
+
+def passes(benchmark: DataFrame) -> Iterator[Items]:
+    """The items' names and words (one space between), as much as a pass takes; one pass at least."""
+    items: Items = []
     held, more = 0, False
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
     for row in rows.toLocalIterator():
-        name = "null" if row.i is None else row.i
-        for window in windows((row.t or "").encode(), n):
+        own = b" ".join(words((row.t or "").encode()))
+        if items and held + len(own) > PASS_BYTES:
+            yield items
+            items, held, more = [], 0, True
+        if own:
+            items.append(("null" if row.i is None else row.i, own))
+            held += len(own)
+    if items or not more:
+        yield items
+
+
+def blocks(items: Items, n: int) -> Iterator[dict[tuple[bytes, ...], list[str]]]:
+    """The windows and the names of the items that hold them, as much as one automaton takes."""
+    block: dict[tuple[bytes, ...], list[str]] = {}
+    held = 0
+    for name, text in items:
+        for window in windows(text, n):
             size = 1 if window in block else len(window)
             if held and held + size > MAX_PATTERN_WORDS:
                 yield block
-                block, held, more = {}, 0, True
+                block, held = {}, 0
                 size = len(window)
             names = block.setdefault(window, [])
             if name not in names[-1:]:
                 names.append(name)
                 held += size
-    if block or not more:
-        yield block
+    yield block
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, n: int = 10, carry: list[str] | None = None) -> DataFrame:
-    """Per document: doc_id, text, n_words, hits (runs of hit words), items (names, sorted), and
-    the columns named in carry as one struct of that name."""
-    small_batches(documents.sparkSession)
-    none = {"hits": F.array().cast(HITS), "items": F.array().cast("array<string>")}
+    """Per document: doc_id, text, n_words, hits (runs of hit words), spans (their places in the
+    text, in code points), items (names, sorted), and the columns named in carry as one struct of
+    that name."""
+    none = {"hits": F.array().cast(HITS), "spans": F.array().cast(SPANS), "items": F.array().cast("array<string>")}
     kept = [F.struct(*quoted(carry)).alias("carry")] if carry else []
     state = documents.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), *[c.alias(k) for k, c in none.items()], *kept)
-
-    def with_block(patterns: dict):
-        def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scanner = Scanner(patterns)
-            for batch in batches:
-                counts, hits, items = [], [], []
-                for text, runs, before in zip(texts_of(batch.column(1)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                    count, hit, found = scanner.scan(text)
-                    if runs and not hit.size:
-                        hit = np.zeros(count, bool)
-                    for run in runs:
-                        hit[run["first"] : run["first"] + run["length"]] = True
-                    edges = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))
-                    first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-                    counts.append(count)
-                    hits.append([{"first": a, "length": b - a} for a, b in zip(first.tolist(), last.tolist(), strict=True)])
-                    items.append(sorted(found | set(before)))
-                out = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hits, batch.schema.field(3).type), pa.array(items, batch.schema.field(4).type), *batch.columns[5:]]
-                yield pa.RecordBatch.from_arrays(out, names=batch.schema.names)
-
-        return scan_batches
-
     before = None
-    for part in blocks(benchmark, n):
+    for items in passes(benchmark):
         if before is not None:
             state = settle(state, "decontaminate")
             discard(before)
-            before = state
-        state = state.mapInArrow(with_block(part), state.schema)
-        before = state if before is None else before
+        before = state
+        state = state.mapInArrow(_pass(items, n), state.schema)
     return state
 
 
+def _pass(items: Items, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = blocks(items, n)
+        first, second = next(parts), next(parts, None)
+        if second is None:
+            scanner = Scanner(first)
+            for batch in sliced(batches):
+                yield _scanned(batch, scanner.scan_all(texts_of(batch.column(1))))
+            return
+        del first, second, parts
+        for group in _held(batches):
+            texts = [texts_of(batch.column(1)) for batch in group]
+            results = [[] for _ in group]
+            for block in blocks(items, n):
+                scanner = Scanner(block)
+                for i, own in enumerate(texts):
+                    results[i] = _joined(results[i], scanner.scan_all(own))
+            for batch, found in zip(group, results, strict=True):
+                yield _scanned(batch, found)
+
+    return run
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    group, held = [], 0
+    for batch in sliced(batches):
+        group.append(batch)
+        held += batch.get_total_buffer_size() if batch.num_rows == 1 else batch.nbytes
+        if held >= HELD_BYTES:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
+def _joined(one: list, two: list) -> list:
+    """The results of two automata for the same texts."""
+    return [(n, a if not b.size else b if not a.size else a | b, x | y) for (n, a, x), (_, b, y) in zip(one, two, strict=True)] if one else two
+
+
+def _scanned(batch: pa.RecordBatch, results: list) -> pa.RecordBatch:
+    """The batch with the results of a pass added to those that it holds."""
+    counts, hits, spans, items = [], [], [], []
+    for (count, hit, found), text, runs, names in zip(results, batch.column(1), batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True):
+        if runs and not hit.size:
+            hit = np.zeros(count, bool)
+        for run in runs:
+            hit[run["first"] : run["first"] + run["length"]] = True
+        edges = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))
+        first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        counts.append(count)
+        hits.append([{"first": a, "length": b - a} for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+        if len(first):
+            start, end = word_spans(text.as_py().encode())
+            spans.append([{"start": a, "end": b} for a, b in zip(start[first].tolist(), end[last - 1].tolist(), strict=True)])
+        else:
+            spans.append([])
+        items.append(sorted(found | set(names)))
+    types = [f.type for f in batch.schema]
+    out = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hits, types[3]), pa.array(spans, types[4]), pa.array(items, types[5]), *batch.columns[6:]]
+    return pa.RecordBatch.from_arrays(out, names=batch.schema.names)
+
+
 def clean(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """The documents without a hit, with all their columns."""
     rest = [c for c in documents.columns if c not in ("doc_id", "text")]
@@ -167,7 +231,3 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> Da
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
     )
-
-
-def sha256(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import LOWER, discard, quoted, settle, small_batches, texts_of
+from tarnlake.llm.common import LOWER, discard, quoted, settle, sliced, texts_of
 from tarnlake.llm.components import components
 from tarnlake.llm.vectors import chunks, shingles, words
 
@@ -86,7 +86,7 @@ def sketch(documents: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null if empty), registers (null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = texts_of(batch.column(1))
             sizes, digests, rows = [], [], []
             for a, b in chunks(texts, 1 << 19):
@@ -158,7 +158,7 @@ def verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None, None)
-        for batch in batches:
+        for batch in sliced(batches, 3):
             ok = []
             for a, ta, tb in zip(batch.column(0).to_pylist(), texts_of(batch.column(2)), texts_of(batch.column(3)), strict=True):
                 if last[:2] != (a, ta):
@@ -274,7 +274,6 @@ def residual(classes: DataFrame, documents: DataFrame, k: int, percent: int) ->
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
-    small_batches(documents.sparkSession)
     rows = settle(sketch(documents, k), "sketches")
     classes = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"))
     classes = settle(classes, "classes")

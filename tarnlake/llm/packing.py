@@ -6,12 +6,16 @@ give its Hilbert key. Rows are dealt into ranges of (key, doc_id), sorted within
 packed in that order, so that neighbours on the curve share sequences.
 
 A range is packed by itself, which makes one pass over the texts and one shuffle of their ids
-(two bytes each). Full sequences have ``size`` tokens; the last tokens of a range fill sequences
+(two bytes each, four where the vocabulary needs them). Full sequences have ``size`` tokens; the last tokens of a range fill sequences
 of falling powers of two, so that nothing is padded. ``sequence_id`` is range * 2**32 + number.
 
 The range bounds come from about ``SAMPLE`` documents, chosen by a hash of id and text. They
-decide only how evenly rows are dealt: ties of copies are parted by doc_id, and every document is
-packed whatever the bounds are.
+decide only how evenly rows are dealt: ties of copies are parted by doc_id, those of one doc_id (or
+of none) by a hash of partition and occurrence, and every document is packed whatever the bounds
+are. The number of ranges grows with the sample's tokens, so that a range stays small.
+
+Ids are those of ``tokenizers`` with add_special_tokens=False: nothing is added, but an added
+token's string that stands in a text (<|endoftext|>) is that token, as in the tokenizer itself.
 
 Defined results: a null or empty text is the end token alone; rows with a null doc_id are packed
 first in their key's order; repeated rows are packed as often as they occur; other columns are
@@ -22,14 +26,17 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import small_batches
+from tarnlake.llm.common import sliced, task_count
 
 SIZE = 2048
 END = 1
@@ -40,18 +47,22 @@ LEAST = -(2**63)
 
 
 class Encoder:
-    """Ids as little-endian 16-bit bytes.
+    """Ids of a text as little-endian bytes of ``kind``.
 
     tokenizer: path of the tokenizer's file, whose ids are the result. ranks and pattern: the
     same vocabulary as merge ranks, and its splitting pattern; with them a faster library gives
-    the same ids (tests hold them against each other). Special tokens' strings are ordinary text."""
+    the same ids (tests hold them against each other). Added tokens are taken from the tokenizer's
+    file; where one strips or normalises what is next to it, or is only a whole word, the faster
+    library isn't used."""
 
     def __init__(self, tokenizer: str, ranks: str | None = None, pattern: str | None = None):
-        if ranks is None:
+        with open(tokenizer, encoding="utf-8") as file:
+            added = json.load(file)["added_tokens"]
+        plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added)
+        if ranks is None or not plain:
             from tokenizers import Tokenizer
 
             own = Tokenizer.from_file(tokenizer)
-            own.encode_special_tokens = True
             size = own.get_vocab_size()
             self.ids = lambda text: own.encode(text, add_special_tokens=False).ids
         else:
@@ -59,13 +70,14 @@ class Encoder:
 
             with open(ranks, "rb") as lines:
                 merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            size = len(merges)
-            self.ids = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens={}).encode_ordinary
-        if size > 65536:
-            raise ValueError("ids of over 16 bits")
+            special = {t["content"]: t["id"] for t in added if t["content"].encode() not in merges}
+            size = 1 + max([*merges.values(), *special.values()])
+            own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens=special)
+            self.ids = lambda text: own.encode_ordinary(text) if not any(t in text for t in special) else own.encode(text, allowed_special="all")
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
 
     def __call__(self, text: str) -> bytes:
-        return np.array(self.ids(text), dtype="<u2").tobytes()
+        return np.array(self.ids(text), dtype=self.kind).tobytes()
 
 
 def projection(dims: int = 3) -> np.ndarray:
@@ -108,22 +120,31 @@ def hilbert(x: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def _encoded(encoder: tuple, bounds: list[tuple[int, int]] | None):
-    """Arrow batches of (doc_id, text) to (doc_id, key, bucket, ids); without bounds no ids."""
+def _encoded(encoder: tuple, bounds: list[tuple[int, int, int]] | None):
+    """Arrow batches of (doc_id, text) to (doc_id, key, mark, bucket, ids); without bounds no ids.
+
+    mark is a hash of the task's partition and of how often it has seen the row's key and doc_id: it
+    deals copies over ranges, and a task that is run again deals the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, matrix = Encoder(*encoder), projection()
-        for batch in batches:
+        encode, matrix, task = Encoder(*encoder), projection(), TaskContext.get().partitionId()
+        seen: dict[tuple, int] = {}
+        for batch in sliced(batches):
             docs = batch.column(0).cast(pa.int64())
-            all_ids = [encode(t or "") + END.to_bytes(2, "little") for t in batch.column(1).to_pylist()]
-            grid = np.array([coordinates(np.frombuffer(x, "<u2"), matrix) for x in all_ids]).reshape(-1, 3)
+            all_ids = [encode(t or "") + END.to_bytes(encode.kind.itemsize, "little") for t in batch.column(1).to_pylist()]
+            grid = np.array([coordinates(np.frombuffer(x, encode.kind), matrix) for x in all_ids]).reshape(-1, 3)
             keys = hilbert(grid)
+            place = [(k, LEAST if d is None else d) for k, d in zip(keys.tolist(), docs.to_pylist(), strict=True)]
+            marks = []
+            for p in place:
+                seen[p] = seen.get(p, 0) + 1
+                marks.append(zlib.crc32(b"%d %d" % (task, seen[p])))
             if bounds is None:
-                sizes = [len(x) // 2 for x in all_ids]
-                yield pa.RecordBatch.from_arrays([docs, pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "key", "n"])
+                sizes = [len(x) // encode.kind.itemsize for x in all_ids]
+                yield pa.RecordBatch.from_arrays([docs, pa.array(keys, pa.int64()), pa.array(marks, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "key", "mark", "n"])
                 continue
-            where = [bisect.bisect_left(bounds, (k, LEAST if d is None else d)) for k, d in zip(keys.tolist(), docs.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([docs, pa.array(keys, pa.int64()), pa.array(where, pa.int32()), pa.array(all_ids, pa.binary())], names=["doc_id", "key", "bucket", "ids"])
+            where = [bisect.bisect_left(bounds, (*p, m)) for p, m in zip(place, marks, strict=True)]
+            yield pa.RecordBatch.from_arrays([docs, pa.array(keys, pa.int64()), pa.array(marks, pa.int64()), pa.array(where, pa.int32()), pa.array(all_ids, pa.binary())], names=["doc_id", "key", "mark", "bucket", "ids"])
 
     return run
 
@@ -166,7 +187,7 @@ class Packer:
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def _packed(size: int):
+def _packed(size: int, kind: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(pieces), 2000):
@@ -177,12 +198,12 @@ def _packed(size: int):
         packer, bucket = None, None
         for batch in batches:
             pieces: list[tuple] = []
-            for doc_id, where, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for doc_id, where, ids in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if where != bucket:
                     if packer is not None:
                         pieces += packer.end()
                     packer, bucket = Packer(where, size), where
-                pieces += packer.add(doc_id, np.frombuffer(ids, "<u2"))
+                pieces += packer.add(doc_id, np.frombuffer(ids, kind))
             yield from out(pieces)
         if packer is not None:
             yield from out(packer.end())
@@ -201,21 +222,28 @@ def pack(documents: DataFrame, encoder: tuple, size: int = SIZE) -> DataFrame:
     """Pieces of all documents, encoded by Encoder(*encoder): doc_id, start, length, ids (little-endian 32-bit), doc_tokens,
     sequence_id, offset."""
     spark = documents.sparkSession
-    small_batches(spark)
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = Encoder(*encoder).kind
     rows = source.count()
     share = min(1.0, SAMPLE / max(rows, 1))
-    sample = sampled(source, share).mapInArrow(_encoded(encoder, None), "doc_id long, key long, n long").collect()
-    bounds: list[tuple[int, int]] = []
-    if sample:
-        order = sorted((r.key, LEAST if r.doc_id is None else r.doc_id, r.n + 200) for r in sample)
-        weight = np.cumsum([x[2] for x in order])
-        cuts = np.searchsorted(weight, weight[-1] * np.arange(1, ranges) / ranges)
-        bounds = sorted({order[min(i, len(order) - 1)][:2] for i in cuts.tolist()})
-    encoded = source.mapInArrow(_encoded(encoder, bounds), "doc_id long, key long, bucket int, ids binary")
-    dealt = encoded.repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "key", "doc_id")
-    return dealt.mapInArrow(_packed(size), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    # copies of one row are all chosen or none: they are counted before they reach the driver
+    sample = sampled(source, share).mapInArrow(_encoded(encoder, None), "doc_id long, key long, mark long, n long")
+    sample = sample.groupBy("key", "doc_id").agg(F.sum(F.col("n") + 200).alias("n"), F.count("*").alias("copies")).collect()
+    total = sum(r.n for r in sample)
+    ranges = task_count(spark, int(total / share) * kind.itemsize)
+    bounds: set[tuple[int, int, int]] = set()
+    held, cuts = 0, 1
+    for r in sorted(sample, key=lambda r: (r.key, LEAST if r.doc_id is None else r.doc_id)):
+        held += r.n
+        while cuts < ranges and total * cuts / ranges <= held:
+            # a cut within a row's copies lies at their share of all marks
+            part = 1 - (held - total * cuts / ranges) / r.n if r.copies > 1 else 1
+            bounds.add((r.key, LEAST if r.doc_id is None else r.doc_id, int(part * 2**32)))
+            cuts += 1
+    edges = sorted(bounds)
+    encoded = source.mapInArrow(_encoded(encoder, edges), "doc_id long, key long, mark long, bucket int, ids binary")
+    dealt = encoded.repartitionById(len(edges) + 1, "bucket").sortWithinPartitions("bucket", "key", "doc_id", "mark")
+    return dealt.mapInArrow(_packed(size, kind), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.llm import labelled
-from tarnlake.llm.common import small_batches, texts_of
+from tarnlake.llm.common import sliced, texts_of
 from tarnlake.llm.toxicity import calibrate
 from tarnlake.llm.vectors import chunks, mix, words
 
@@ -163,17 +163,15 @@ def predict(texts: list[bytes], m: dict) -> np.ndarray:
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = MOST) -> dict:
     """The model, learned from at most ``most`` rows of each class: a few kilobytes."""
-    small_batches(documents.sparkSession)
     return train(*labelled.sample(documents, labels, "quality", most))
 
 
 def apply(documents: DataFrame, model: dict, name: str = "score") -> DataFrame:
     """All columns of documents (text among them), and the score under a name that they don't have."""
-    small_batches(documents.sparkSession)
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, at):
             score = pa.array(predict(texts_of(batch.column(at)), model), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, "score"])
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.llm import labelled
-from tarnlake.llm.common import small_batches, texts_of
+from tarnlake.llm.common import sliced, texts_of
 from tarnlake.llm.vectors import chunks
 
 BUCKETS = 1 << 17
@@ -158,11 +158,10 @@ def predict(texts: list[bytes], weights: np.ndarray, bias: float) -> np.ndarray:
 
 def score(documents: DataFrame, labels: DataFrame, most: int = MOST, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; ``most`` bounds the rows learned from."""
-    small_batches(documents.sparkSession)
     weights, bias = train(*labelled.sample(documents, labels, "toxic", most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(predict(texts_of(batch.column(1)), weights, bias), pa.float64())], names=["doc_id", "score"])
 
     scored = documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")

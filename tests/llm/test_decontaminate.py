@@ -54,11 +54,22 @@ def test_equals_brute_force(spark):
     assert any(r[4] for r in got[len(TEXTS):])
 
 
-def test_blocks_of_automata_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(dc, "MAX_PATTERN_WORDS", 25)
+@pytest.mark.parametrize(("words", "size"), [(25, 1 << 28), (500_000, 60), (25, 60)])
+def test_parts_of_the_automaton_give_the_same(spark, monkeypatch, words, size):
+    monkeypatch.setattr(dc, "MAX_PATTERN_WORDS", words)
+    monkeypatch.setattr(dc, "PASS_BYTES", size)
+    monkeypatch.setattr(dc, "HELD_BYTES", 200)
     assert rows(spark, TEXTS, ITEMS) == brute(TEXTS, ITEMS, 10)
 
 
+def test_spans_lie_in_the_original(spark):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in dc.scan(table(spark, TEXTS), bench).collect()}
+    assert [TEXTS[0][a:b] for a, b in got[0]] == ["one-two three,four five six SEVEN eight nine ten eleven"]
+    assert [TEXTS[1][a:b] for a, b in got[1]] == ["short item", "short  item"] and TEXTS[2][slice(*got[2][0])].startswith("É a b")
+    assert got[4] == got[5] == []
+
+
 def test_odd_rows(spark):
     bench = spark.createDataFrame(ITEMS + [(None, "one two")], "item_id long, text string")
     got = {r.doc_id: r for r in dc.decontaminate(odd_rows(spark), bench).collect()}

@@ -16,10 +16,32 @@ from tarnlake.plans import describe, run_sql
 from tarnlake.session import make_session
 from tarnlake.sources import Catalog
 
-#: Rows that are printed; the query itself isn't limited.
+#: Rows that are fetched and printed at a time.
 SHOWN = 1000
 
 
+def show(df) -> None:
+    """All rows, as one table for each SHOWN of them; the driver holds few partitions at a time."""
+    line, first = [], True
+
+    def table() -> None:
+        cells = [["NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) for v in row] for row in line]
+        widths = [max(len(name), *(len(c[i]) for c in cells)) if cells else len(name) for i, name in enumerate(df.columns)]
+        rule = "+" + "+".join("-" * w for w in widths) + "+"
+        print(rule, "|" + "|".join(n.rjust(w) for n, w in zip(df.columns, widths, strict=True)) + "|", rule, sep="\n")
+        for c in cells:
+            print("|" + "|".join(v.rjust(w) for v, w in zip(c, widths, strict=True)) + "|")
+        print(rule)
+
+    for row in df.toLocalIterator():
+        line.append(row)
+        if len(line) == SHOWN:
+            table()
+            line, first = [], False
+    if line or first:
+        table()
+
+
 def answer(spark, catalog: Catalog, sql: str, explain: bool, strict: bool) -> None:
     began = time.perf_counter()
     df = run_sql(spark, sql, catalog, strict)
@@ -27,7 +49,7 @@ def answer(spark, catalog: Catalog, sql: str, explain: bool, strict: bool) -> No
         print(describe(df))
         return
     with translated():
-        df.show(SHOWN, truncate=False)
+        show(df)
     print(f"elapsed: {time.perf_counter() - began:.3f} s", file=sys.stderr)
 
 

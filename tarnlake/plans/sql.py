@@ -73,10 +73,36 @@ def check_core(plan) -> None:
                         raise PlanError("strict: DISTINCT and FILTER in aggregates are outside the core dialect")
 
 
+def _outputs(plan) -> list | None:
+    """The expressions of the outermost select list; None if a star stands in it, or there is none."""
+    while _name(plan) in ("Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "UnresolvedHaving"):
+        plan = plan.children().apply(0)
+    if _name(plan) not in ("Project", "Aggregate"):
+        return None
+    listed = plan.projectList() if _name(plan) == "Project" else plan.aggregateExpressions()
+    out = [listed.apply(i) for i in range(listed.size())]
+    return None if any("Star" in _name(e) for e in out) else out
+
+
+def _named(df: DataFrame, plan) -> DataFrame:
+    """The result with default names for the outputs that have none."""
+    outputs = _outputs(plan)
+    if outputs is None or len(outputs) != len(df.columns):
+        return df
+    names = list(df.columns)
+    for i, e in enumerate(outputs):
+        if _name(e) == "UnresolvedAlias":
+            child = e.children().apply(0)
+            called = child.nameParts().mkString(".").lower() if _name(child) == "UnresolvedFunction" else ""
+            names[i] = called if called in CORE_FUNCTIONS else "expr"
+    return df if names == df.columns else df.toDF(*names)
+
+
 def run_sql(spark: SparkSession, sql: str, folder: str | Catalog | None = None, strict: bool = False) -> DataFrame:
     """A query over the tables of a folder (None: over the session's views), as a DataFrame.
 
-    One trailing semicolon is fine. Rows with NULL keys don't join, NULL arguments don't count,
+    One trailing semicolon is fine. An output without a name of its own is called after its
+    aggregate (sum, count, avg, min, max), any other expression expr. Rows with NULL keys don't join, NULL arguments don't count,
     AND and OR are three-valued, a global aggregate of no rows is one row: ANSI throughout."""
     sql = sql.strip().removesuffix(";")
     plan = parse(spark, sql)
@@ -85,4 +111,4 @@ def run_sql(spark: SparkSession, sql: str, folder: str | Catalog | None = None,
     if folder is not None:
         (folder if isinstance(folder, Catalog) else Catalog(spark, folder)).register()
     with translated():
-        return spark.sql(sql)
+        return _named(spark.sql(sql), plan)

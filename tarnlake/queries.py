@@ -84,6 +84,21 @@ SQL: dict[str, tuple[str, str, str | None]] = {
     "union_all": ("customer supplier", "SELECT c_nationkey AS nation, c_acctbal AS balance FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier", None),
     "cte": ("orders", "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 150000) SELECT o_orderstatus, COUNT(*) AS c FROM big GROUP BY o_orderstatus", None),
     "semi_join": ("customer orders", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)", None),
+    "union_distinct": ("customer supplier", "SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier", None),
+    "intersect": ("customer supplier", "SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier", None),
+    "except": ("nation customer", "SELECT n_nationkey AS nation FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900", None),
+    "join_right": ("customer orders", "SELECT c.c_custkey, c.c_name, o.o_orderkey FROM orders o RIGHT JOIN customer c ON c.c_custkey = o.o_custkey", None),
+    "join_full": ("documents labels", "SELECT d.doc_id, l.doc_id AS labelled, l.toxic FROM (SELECT * FROM documents WHERE n_chars > 400) d FULL JOIN labels l ON d.doc_id = l.doc_id", None),
+    "anti_join": ("customer orders", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)", None),
+    "case_when": ("orders", "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS class FROM orders", None),
+    "in_list": ("lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber IN (2, 5) AND l_returnflag NOT IN ('N', 'A')", None),
+    "in_subquery": ("nation region", "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name < 'B')", None),
+    "between": ("orders", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 100000 AND 120000 AND o_orderkey NOT BETWEEN 10 AND 90", None),
+    "cast": ("part", "SELECT p_partkey, CAST(p_size AS BIGINT) AS wide, CAST(p_partkey AS DOUBLE) AS real_key, CAST(p_size AS VARCHAR(20)) AS text_size FROM part", None),
+    "is_null": ("documents labels", "SELECT d.doc_id, l.quality IS NULL AS unlabelled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic IS NOT NULL OR d.lang = 'en'", None),
+    "like": ("part", "SELECT p_partkey, p_brand FROM part WHERE p_brand LIKE '%1%' AND p_brand NOT LIKE '%2'", None),
+    "scalar_subquery": ("orders", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) FROM orders) AND o_orderstatus = 'F'", None),
+    "window_sum": ("orders", "SELECT o_orderkey, o_custkey, COUNT(*) OVER (PARTITION BY o_custkey) AS placed, LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders", None),
     "window_rank": ("orders", "SELECT o_custkey, o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders", None),
 }
 

@@ -1,19 +1,20 @@
 """License scans by diagonal voting over word k-gram hashes.
 
 Every run of ``K`` words of a text is hashed and joined to the positions that it has in the
-license templates (a table of a few thousand rows, whose size is checked before it is broadcast).
-A match votes for its diagonal, the word number in the text less that in the template. Votes are
-counted for each text, template and diagonal; neighbouring diagonals (at most ``SLACK`` words
-apart, for words added or left out) whose spans lie within ``REACH`` words are merged. A merged
-span is verified: the template words that its votes cover must be ``COVER`` of the template
-(``SHORT_COVER`` of one under ``SHORT`` words, as short notices share most of their words) and
-``DENSE`` of the span's own words. (Two of a thousand billion k-grams share a 64-bit hash by chance
-less than once in ten million, and a span needs many.)
+license templates. A match votes for its diagonal, the word number in the text less that in the
+template. Votes are counted for each text, template and diagonal; neighbouring diagonals (at most
+``SLACK`` words apart, for words added or left out) whose spans lie within ``REACH`` words are
+merged. A merged span is verified: the template words that its votes cover must be ``COVER`` of the
+template (``SHORT_COVER`` of one under ``SHORT`` words, as short notices share most of their words)
+and ``DENSE`` of the span's own words. (Two of a thousand billion k-grams share a 64-bit hash by
+chance less than once in ten million, and a span needs many.)
 
 Beside these, ``PHRASES`` are found wherever their words stand consecutively.
 
-All of it is DataFrame expressions. Texts with votes are grouped by doc_id and a hash of the
-text, so that rows grow with the matches and not with a text's length.
+All of it is DataFrame expressions. A text is cut into words once: one pass gives its base places
+and the hashes that the templates hold too (up to ``MOST_LISTED`` of those are part of the plan;
+of more, all hashes of the texts are kept for the join). That narrow table is written to the
+shared folder; votes and labels come from it, and rows grow with the matches and not with a text.
 
 Defined results: null, empty and wordless texts have no words and no labels (first_word and
 last_word null, labels empty); repeated rows are scanned and returned as often; rows with a null
@@ -22,12 +23,14 @@ doc_id are scanned like others; other columns are ignored; an empty table gives
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import ascii_lower
+from tarnlake.llm.common import ascii_lower, settle
+from tarnlake.llm.spans import bind
 
 K = 4
 SLACK = 3
@@ -36,10 +39,13 @@ COVER = 0.5
 SHORT = 20
 SHORT_COVER = 0.8
 DENSE = 0.5
-MOST_TEMPLATE_WORDS = 1_000_000
+MOST_LISTED = 10_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+#: The versions of the Creative Commons licenses, as their notices name them.
+CC_VERSIONS = ("1.0 Generic", "2.0 Generic", "2.5 Generic", "3.0 Unported", "4.0 International")
+CC_NUMBERS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 #: Openings and notices of well-known public licenses; of one label there may be several forms.
 TEMPLATES = {
     "mit": (
@@ -50,6 +56,7 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
         "Licensed under the Apache License, Version 2.0",
     ),
+    "apache": tuple(f"Licensed under the Apache License, Version {v}" for v in ("1.0", "1.1")),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Released under the BSD License",
@@ -57,16 +64,18 @@ TEMPLATES = {
     "gpl-notice": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
         "Licensed under the GNU General Public License, version 3",
+        "Released under the GNU General Public License, version 3",
     ),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
         "Licensed under the Mozilla Public License, version 2.0",
     ),
+    "mpl": tuple(f"Licensed under the Mozilla Public License, version {v}" for v in ("1.0", "1.1")),
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",),
     "unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",),
-    "cc-by-notice": ("This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0"),
-    "cc-by-sa-notice": ("This work is licensed under the Creative Commons Attribution ShareAlike License", "Licensed under CC BY-SA 4.0"),
-    "cc-by-nc-notice": ("This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0"),
+    "cc-by-notice": (*(f"This work is licensed under a Creative Commons Attribution {v} License" for v in CC_VERSIONS), *(f"Licensed under CC BY {v}" for v in CC_NUMBERS)),
+    "cc-by-sa-notice": ("This work is licensed under the Creative Commons Attribution ShareAlike License", *(f"This work is licensed under a Creative Commons Attribution ShareAlike {v} License" for v in CC_VERSIONS), *(f"Licensed under CC BY-SA {v}" for v in CC_NUMBERS)),
+    "cc-by-nc-notice": (*(f"This work is licensed under a Creative Commons Attribution NonCommercial {v} License" for v in CC_VERSIONS), *(f"Licensed under CC BY-NC {v}" for v in CC_NUMBERS)),
     "reserved-notice": ("No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher",),
 }
 
@@ -86,12 +95,15 @@ def template_grams(templates: dict[str, tuple[str, ...]]) -> list[tuple[str, int
 
 
 def template_rows(spark: SparkSession, templates: dict[str, tuple[str, ...]]) -> DataFrame:
-    """gram (hash), label, form, place and n (words of the form) of every template k-gram."""
-    rows = template_grams(templates)
-    if len(rows) > MOST_TEMPLATE_WORDS:
-        raise ValueError(f"{len(rows)} template places; at most {MOST_TEMPLATE_WORDS} are broadcast")
-    table = spark.createDataFrame(rows, "label string, form int, place int, n int, words array<string>")
-    return table.select(F.xxhash64(*[F.col("words")[i] for i in range(K)]).alias("gram"), "label", "form", "place", "n")
+    """gram (hash), label, form, place and n (words of the form) of every template k-gram: a
+    constant of the plan, which no Python process has to read."""
+    rows = [dict(zip(("label", "form", "place", "n", "words"), row, strict=True)) for row in template_grams(templates)]
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<label:string,form:int,place:int,n:int,words:array<string>>>")))
+    return table.select(_gram(F.col("words"), F.lit(0)).alias("gram"), "label", "form", "place", "n")
+
+
+def _gram(words: Column, i: Column) -> Column:
+    return F.xxhash64(*[F.get(words, i + j) for j in range(K)])
 
 
 def words_of(text: Column) -> Column:
@@ -99,15 +111,19 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS, -1), lambda w: w != "")
 
 
-def phrase_places(words: Column, spaced: Column) -> Column:
-    """array of (label, start) of all places of the base phrases. spaced: the words with one space
-    before, between and behind them, which tells at once that a phrase isn't there."""
+def phrase_places(words: Column) -> Column:
+    """array of (label, start) of all places of the base phrases."""
     none = F.array().cast("array<struct<label:string,start:long>>")
-    found = []
-    for phrase, label in PHRASES.items():
-        places = _places(words, phrase.split(), label)
-        found.append(F.when(F.contains(spaced, F.lit(f" {phrase} ")), places).otherwise(none))
-    return F.concat(*found)
+
+    def each(x: Column) -> Column:
+        # with one space before, between and behind the words, one search tells that a phrase isn't there
+        found = []
+        for phrase, label in PHRASES.items():
+            places = _places(x["words"], phrase.split(), label)
+            found.append(F.when(F.contains(x["spaced"], F.lit(f" {phrase} ")), places).otherwise(none))
+        return F.concat(*found)
+
+    return bind(F.struct(words.alias("words"), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).alias("spaced")), each)
 
 
 def _places(words: Column, parts: list[str], label: str) -> Column:
@@ -121,17 +137,25 @@ def _places(words: Column, parts: list[str], label: str) -> Column:
     return F.transform(starts, lambda i: F.struct(F.lit(label).alias("label"), i.cast("long").alias("start")))
 
 
-def votes(documents: DataFrame, templates: DataFrame) -> DataFrame:
-    """doc_id, mark (of the text), label, form, place, n, at: k-gram matches."""
-    text = documents.select("doc_id", F.xxhash64("text").alias("mark"), words_of(F.col("text")).alias("w")).where(F.size("w") >= K)
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - K), lambda i: F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(K)]))
-    return text.select("doc_id", "mark", F.posexplode(grams).alias("at", "gram")).join(F.broadcast(templates), "gram").select("doc_id", "mark", "label", "form", "place", "n", "at")
+def read_once(documents: DataFrame, templates: DataFrame) -> DataFrame:
+    """row (a number of its own), doc_id, n_words, base (label, start) and hits (at, gram) of every
+    document, as a settled table."""
+    grams = [r.gram for r in templates.select("gram").distinct().limit(MOST_LISTED + 1).collect()]
+
+    def told(w: Column) -> Column:
+        places = F.when(F.size(w) >= K, F.sequence(F.lit(0), F.size(w) - K)).otherwise(F.array().cast("array<int>"))
+        every = F.transform(places, lambda i: F.struct(i.alias("at"), _gram(w, i).alias("gram")))
+        hits = F.filter(every, lambda x: x["gram"].isin(grams)) if len(grams) <= MOST_LISTED else every
+        return F.struct(F.size(w).cast("long").alias("n_words"), phrase_places(w).alias("base"), hits.alias("hits"))
+
+    rows = documents.select("doc_id", bind(words_of(F.col("text")), told).alias("x"))
+    return settle(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "x.*"), "licenses")
 
 
-def spans(documents: DataFrame, templates: DataFrame) -> DataFrame:
-    """doc_id, mark, label, form, first, last (words, end exclusive), votes, cover, verified."""
-    matched = votes(documents, templates).distinct()
-    text = ["doc_id", "mark", "label", "form"]
+def spans(held: DataFrame, templates: DataFrame) -> DataFrame:
+    """row, label, form, first, last (words, end exclusive), votes, cover, verified. held: row and hits."""
+    matched = held.select("row", F.inline("hits")).join(templates, "gram")
+    text = ["row", "label", "form"]
     diagonals = matched.groupBy(*text, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set("place").alias("places"), F.count("*").alias("votes"), F.first("n").alias("n"))
     order = Window.partitionBy(*text).orderBy("diagonal", "first")
     far = (F.col("diagonal") - F.lag("diagonal").over(order) > SLACK) | (F.greatest("first", F.lag("first").over(order)) - F.least("last", F.lag("last").over(order)) > REACH)
@@ -147,14 +171,11 @@ def spans(documents: DataFrame, templates: DataFrame) -> DataFrame:
 def scan(documents: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     table = template_rows(documents.sparkSession, TEMPLATES if templates is None else templates)
-    found = spans(documents, table).where("verified").groupBy("doc_id", "mark").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover"))
-    rows = documents.select("doc_id", F.xxhash64("text").alias("mark"), words_of(F.col("text")).alias("w"))
-    spaced = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
-    places = rows.select("doc_id", "mark", F.size("w").cast("long").alias("n_words"), phrase_places(F.col("w"), spaced).alias("base"))
+    held = read_once(documents, table)
+    found = spans(held, table).where("verified").groupBy("row").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover"))
     starts = F.transform("base", lambda x: x["start"])
     labels = F.array_sort(F.array_distinct(F.transform("base", lambda x: x["label"])))
-    base = places.select("doc_id", "mark", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels.alias("own"))
-    both = base.alias("b").join(found.alias("f"), F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("b.mark") == F.col("f.mark")), "left")
+    base = held.select("row", "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels.alias("own"))
     every = F.array_sort(F.array_union("own", F.coalesce("more", F.array().cast("array<string>"))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("cover", F.lit(0.0)))
-    return both.select("b.doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("own", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"))
+    return base.join(found, "row", "left").select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("own", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"))

@@ -11,17 +11,18 @@
    threshold is ``DOUBT`` log units less likely than the best one are dropped. The rest is
    verified on the full sets of both texts.
 5. Verified links give components. Where a bucket still holds several of them, all classes outside
-   the most frequent one are compared with all classes of other components, in blocks of
-   ``BLOCK`` rows dealt over tasks, so that no link is lost to the choice of hubs; what the
-   likelihood leaves is verified there, and joins the components.
+   the most frequent one are compared with all classes of other components, in blocks of about
+   ``BLOCK`` rows and ``CELL_BYTES`` of text dealt over tasks, so that no link is lost to the choice
+   of hubs; what the likelihood leaves is verified there, and joins the components.
 
 Words are runs without white space, A-Z lower-cased. Links have
 100 * intersection >= percent * union.
 
 Defined results: null, empty and blank texts have an empty set, 0 shingles, and are their own
 component; a text of fewer than k words has one shingle, all of it; repeated rows and copies are
-in one component and each row is returned (a repeated doc_id should repeat its text); rows with a
-null doc_id link with nothing, their component_id is null and they are kept; other columns are
+in one component and each row is returned; a repeated doc_id is one document, so that what one of
+its texts links with is in one component with what another links with (a row without shingles
+excepted); rows with a null doc_id link with nothing, their component_id is null and they are kept; other columns are
 ignored; an empty table gives no rows.
 """
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import LOWER, discard, quoted, settle, sliced, texts_of
+from tarnlake.llm.common import LOWER, discard, quoted, settle, sliced, task_count, texts_of
 from tarnlake.llm.components import components
 from tarnlake.llm.vectors import chunks, shingles, words
 
@@ -44,6 +45,7 @@ B = 1.09
 RATE = 20.0
 DOUBT = 14.0
 BLOCK = 256
+CELL_BYTES = 1 << 25
 #: Similarity likelihoods are compared on this grid.
 GRID = np.linspace(0.0, 1.0, 101)
 
@@ -83,7 +85,7 @@ def bands_of(percent: int) -> tuple[int, int]:
 
 
 def sketch(documents: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), registers (null if empty)."""
+    """doc_id, n_shingles, digest of the set (null if empty), registers (null if empty), bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -101,9 +103,9 @@ def sketch(documents: DataFrame, k: int) -> DataFrame:
                 sizes += size.tolist()
                 digests += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 rows += found
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(rows, pa.binary())], names=["doc_id", "n_shingles", "digest", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(rows, pa.binary()), pa.array([len(t) for t in texts], pa.int64())], names=["doc_id", "n_shingles", "digest", "registers", "bytes"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, registers binary")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, registers binary, bytes long")
 
 
 def log_likelihood(larger: np.ndarray, smaller: np.ndarray, share: np.ndarray) -> np.ndarray:
@@ -151,9 +153,26 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold."""
+def texts_by_id(documents: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """id and text of every document, each text of an id once; and the repeated ids, if any are."""
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
+    many = settle(rows.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    if many.isEmpty():
+        discard(many)
+        return texts, None
+    again = texts.join(many, "id", "left_semi").groupBy("id", F.md5("text").alias("mark")).agg(F.first("text").alias("text"))
+    return texts.join(many, "id", "left_anti").unionAll(again.select("id", "text")), many
+
+
+def same_document(rows: DataFrame, classes: DataFrame, many: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes that one repeated doc_id has texts of."""
+    own = rows.withColumn("id", F.col("doc_id")).join(many, "id", "left_semi").select("doc_id", "digest").distinct()
+    held = own.join(classes, "digest").select("doc_id", "id")
+    return held.join(held.groupBy("doc_id").agg(F.min("id").alias("low")), "doc_id").where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs whose full shingle sets reach the threshold. texts: id and text."""
     one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,29 +197,30 @@ def buckets(classes: DataFrame, percent: int, *more: str) -> DataFrame:
     return classes.select("id", *more, F.posexplode(F.array(*values)).alias("band", "bucket"))
 
 
-def residual(classes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
+def residual(classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between components, of components, that hubs have not shown, as a settled
-    table. classes: id, component, n_shingles, registers.
+    table. classes: id, component, n_shingles, registers, bytes; texts: id and text.
 
     A bucket that holds several components belongs to the group of its most frequent one. A
     group's members are compared in cells of two blocks: all members, and those outside of that
     component. In a cell the likelihood leaves the pairs that are verified on full sets."""
-    placed = buckets(classes, percent, "component").select("bucket", "id", "component")
+    placed = buckets(classes, percent, "component", "bytes").select("bucket", "id", "component", "bytes")
     mixed = (
         placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         .groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("kinds"))
         .where("kinds > 1 AND all > 2").select("bucket", "top")
     )
     mixed = settle(mixed, "mixed")
-    members = placed.join(mixed, "bucket").select("top", "id", (F.col("component") != F.col("top")).alias("outside")).distinct()
-    members = settle(members, "members")
-    sizes = members.groupBy("top").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("wide"), F.ceil(F.sum(F.col("outside").cast("int")) / BLOCK).cast("int").alias("high"))
-    sizes = settle(sizes, "groups")
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
-    needed = members.select("id").distinct().join(texts, "id").join(classes, "id").dropDuplicates(["id"])
+    members = placed.join(mixed, "bucket").select("top", "id", "bytes", (F.col("component") != F.col("top")).alias("outside"))
+    members = settle(members.groupBy("top", "id").agg(F.max("bytes").alias("bytes"), F.max("outside").alias("outside")), "members")
+    out = F.col("outside").cast("int")
+    sizes = members.groupBy("top").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"), F.sum(out).alias("few"), F.sum(out * F.col("bytes")).alias("outer_size"))
+    wide, high = (F.ceil(F.greatest(F.col(n) / BLOCK, F.col(b) / CELL_BYTES)).cast("int") for n, b in (("n", "size"), ("few", "outer_size")))
+    sizes = settle(sizes.select("top", wide.alias("wide"), high.alias("high"), (F.col("size") * high + F.col("outer_size") * wide).alias("shipped")), "groups")
+    needed = members.select("id").distinct().join(texts, "id").join(classes, "id")
     needed = settle(needed.select("id", "component", "n_shingles", "registers", "text"), "needed")
     block = F.xxhash64("id", F.lit(1))
-    own = members.join(sizes, "top")
+    own = members.join(sizes.drop("shipped"), "top")
     every = own.select("top", F.pmod(block, F.col("wide")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("j"), F.lit(False).alias("outer"), "id")
     outer = own.where("outside").select("top", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("i"), F.pmod(block, F.col("high")).cast("int").alias("j"), F.lit(True).alias("outer"), "id")
 
@@ -265,7 +285,7 @@ def residual(classes: DataFrame, documents: DataFrame, k: int, percent: int) ->
 
     cells = ["top", "i", "j"]
     dealt = every.union(outer).join(needed, "id").select(*cells, "outer", "id", "component", "n_shingles", "registers", "text")
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = task_count(classes.sparkSession, int(sizes.agg(F.sum("shipped")).first()[0] or 0))
     found = settle(dealt.repartition(parts, *cells).sortWithinPartitions(*cells).mapInArrow(run, "a long, b long").distinct(), "more")
     for old in (mixed, members, sizes, needed):
         discard(old)
@@ -275,21 +295,24 @@ def residual(classes: DataFrame, documents: DataFrame, k: int, percent: int) ->
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
     rows = settle(sketch(documents, k), "sketches")
+    texts, many = texts_by_id(documents, rows)
     classes = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"))
     classes = settle(classes, "classes")
     own = rows.join(classes.select(F.col("id").alias("doc_id"), F.col("digest").alias("own")), "doc_id").where("digest = own")
-    sketches = settle(own.select(F.col("doc_id").alias("id"), "n_shingles", "registers").dropDuplicates(["id"]), "registers")
+    # an id with several texts has several sketches; each pair of ids is verified on all of them
+    sketches = settle(own.select(F.col("doc_id").alias("id"), "n_shingles", "registers", "digest", "bytes").dropDuplicates(["id", "digest"]).drop("digest"), "registers")
     placed = buckets(sketches, percent).select("bucket", "id")
     hubs = settle(placed.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", "bucket")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub"), "hubs")
     stars = placed.join(hubs, "bucket").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     pairs = settle(likely(stars, sketches, percent), "likely")
-    links = settle(verified(pairs, documents, k, percent), "links")
+    links = verified(pairs, texts, k, percent)
+    links = settle(links if many is None else links.unionByName(same_document(rows, classes, many)), "links")
     found = components(links)
-    reached = sketches.join(found, "id", "left").select("id", "n_shingles", "registers", F.coalesce("component", "id").alias("component"))
+    reached = sketches.join(found, "id", "left").select("id", "n_shingles", "registers", "bytes", F.coalesce("component", "id").alias("component"))
     reached = settle(reached, "reached")
-    more = residual(reached, documents, k, percent)
+    more = residual(reached, texts, k, percent)
     joined = components(more).select(F.col("id").alias("component"), F.col("component").alias("joined"))
-    named = reached.select("id", "component").join(joined, "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
+    named = reached.select("id", "component").distinct().join(joined, "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
     named = settle(classes.join(named, "id", "left").select("digest", F.coalesce("component", "id").alias("component")), "named")
     for old in (pairs, links, more, sketches, hubs, reached, classes):
         discard(old)
@@ -299,7 +322,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
 
 
 def representatives(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with one of each group of linked ones (the smallest doc_id, one row of it),
+    """The documents with one of each group of linked ones (the smallest doc_id, any one row of it),
     with all their columns. Rows with a null doc_id stay."""
     found = settle(near_duplicates(documents, k, percent).select("doc_id", "kept"), "kept")
     ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))

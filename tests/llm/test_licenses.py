@@ -38,7 +38,8 @@ def test_diagonals(spark):
     got = [r for r in licenses.scan(table(spark, texts)).orderBy("doc_id").collect()]
     assert [r.labels for r in got] == ["mit", "mit", "", "", "", "apache-2.0,mit"]
     assert got[0].score == 1.0 and 0.5 <= got[1].score < 1 and got[2].score == 0
-    (span,) = licenses.spans(table(spark, texts[:1]), licenses.template_rows(spark, licenses.TEMPLATES)).where("verified").collect()
+    templates = licenses.template_rows(spark, licenses.TEMPLATES)
+    (span,) = licenses.spans(licenses.read_once(table(spark, texts[:1]), templates), templates).where("verified").collect()
     assert (span["first"], span["last"]) == (3, 3 + len(w))
 
 
@@ -48,6 +49,19 @@ def test_short_notices(spark):
     assert got == ["mit", "mit", "apache-2.0", "gpl,gpl-notice", "cc-by,cc-by-nc-notice", "cc-by,cc-by-notice", "", "", ""]
 
 
+def test_other_versions(spark):
+    texts = ["This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "licensed under a Creative Commons Attribution-NonCommercial 2.5 Generic License", "Licensed under the Mozilla Public License, version 1.1", "Licensed under CC BY-SA 3.0", "Licensed under the Apache License, Version 1.1", "Released under the GNU General Public License, version 2"]
+    got = [r.labels for r in licenses.scan(table(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["cc-by-notice", "cc-by-nc-notice", "mpl", "cc-by,cc-by-sa-notice", "apache", "gpl,gpl-notice"]
+
+
+def test_many_templates_give_the_same(spark, monkeypatch):
+    rows = table(spark, [f[0] for f in licenses.TEMPLATES.values()] + ["no license"])
+    few = sorted(map(tuple, licenses.scan(rows).collect()))
+    monkeypatch.setattr(licenses, "MOST_LISTED", 5)
+    assert sorted(map(tuple, licenses.scan(rows).collect())) == few
+
+
 def test_odd_rows(spark):
     rows = odd_rows(spark).union(table(spark, [*licenses.TEMPLATES["isc"]] * 2, 50)).union(table(spark, [*licenses.TEMPLATES["isc"]], 50))
     got = licenses.scan(rows).collect()

@@ -117,3 +117,30 @@ def test_components(spark):
             root[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_repeated_id_with_several_texts_is_one_document(spark):
+    a, b, c = ("a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z 1 2 3 4")
+    rows = [(5, a), (5, b), (7, b), (9, a), (9, a), (3, c), (8, c), (8, ""), (5, a)]
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted([(5, 8, 5), (5, 8, 5), (5, 8, 5), (7, 8, 5), (9, 8, 5), (9, 8, 5), (3, 8, 3), (8, 8, 3), (8, 0, 8)])
+
+
+def test_rows_of_one_hot_id(spark):
+    rng = random.Random(9)
+    texts = family(rng, 30, most=12)
+    rows = [(1, t) for t in texts[:5] for _ in range(200)] + list(enumerate(texts[5:], 2))
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    want = brute(list(enumerate(texts[:5], -5)) + list(enumerate(texts[5:], 2)), 3, 85)
+    hot = {want[i][1] for i in range(-5, 0)}
+    assert len(got) == len(rows) and {r.component_id for r in got if r.doc_id == 1} == {1}
+    assert all(r.component_id == (1 if want[r.doc_id][1] in hot else want[r.doc_id][1]) for r in got if r.doc_id > 1)
+
+
+@pytest.mark.parametrize("cell", [1, 1 << 25])
+def test_cells_bounded_by_bytes_give_the_same(spark, monkeypatch, cell):
+    monkeypatch.setattr(nd, "CELL_BYTES", cell * 4000)
+    texts = family(random.Random(4), 60, most=40)
+    got = nd.near_duplicates(table(spark, texts), 3, 85).collect()
+    want = brute(list(enumerate(texts)), 3, 85)
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)

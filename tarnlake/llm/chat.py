@@ -4,7 +4,8 @@ A layout's fingerprint is the SHA-256 of its sorted nested field paths (arrays a
 table's schema or of JSON records. ``MAPPINGS`` says for each known layout how its records become
 turns (role, text): prompt and completion columns, instruction/input/output, message lists with
 role/content or from/value, and rows by turn. ``canonical`` applies the mapping of a table,
-``canonical_json`` that of each record by its own fingerprint.
+``canonical_json`` that of each record by its own fingerprint. A table that has more columns than
+a layout (a fingerprint of its own) is read by the largest layout that it holds.
 
 The template writes a turn as <|im_start|>role\\ntext<|im_end|>\\n. Inside texts and roles
 backslashes are doubled and every control string of ``CONTROLS`` gets a backslash behind its
@@ -12,11 +13,13 @@ first character, so that none stands in a text, and taking the backslashes away
 it. A line end in a role is written <|nl|>. ``loss`` holds the places of the assistant texts.
 
 Everything is DataFrame expressions. A conversation becomes one row, because its output is one
-string; turns are ordered by turn (null first), then role and text.
+string (of 2 GB at most, as any of Spark's); turns are ordered by turn (null first), then role and text.
 
 Defined results: a null role or text is empty; rows with a null conv_id form one conversation;
 repeated rows are repeated turns; other columns are ignored; an empty table gives no rows;
-records of an unknown fingerprint raise in ``canonical`` and have no turns in ``canonical_json``.
+a table that holds no known layout raises in ``canonical``; a record of an unknown fingerprint, or
+one that is null or no JSON, is returned by ``canonical_json`` as one turn of role record and null
+mapping, with the record itself as its text.
 """
 
 from __future__ import annotations
@@ -104,12 +107,24 @@ def _columns(mapping: dict, get) -> Column:
     return F.filter(F.array(*turns), lambda x: x["role"].isin(*keep) | (x["text"] != ""))
 
 
+def mapping_of(field_paths: list[str]) -> tuple[str, dict] | None:
+    """The mapping of these paths' fingerprint; else that of the largest layout among them."""
+    exact = MAPPINGS.get(fingerprint(field_paths))
+    if exact is not None:
+        return exact
+    held = [(name, layout) for name, layout in LAYOUTS.items() if set(layout[0]) <= set(field_paths)]
+    if not held:
+        return None
+    name, (_, mapping) = max(held, key=lambda x: len(x[1][0]))
+    return name, mapping
+
+
 def canonical(table: DataFrame, key: str) -> DataFrame:
     """conv_id, turn, role, text from a table of any known layout; key is its id column, and
-    columns that no layout knows are ignored."""
+    columns that the layout doesn't know are ignored."""
     known = {p.split("[")[0].split(".")[0] for layout, _ in LAYOUTS.values() for p in layout}
     rest = [f for f in table.schema if f.name in known and f.name != key]
-    found = MAPPINGS.get(fingerprint([p for f in rest for p in paths(T.StructType([f]))]))
+    found = mapping_of([p for f in rest for p in paths(T.StructType([f]))])
     if found is None:
         raise ValueError(f"no mapping for the layout {sorted(f.name for f in rest)}")
     mapping = found[1]
@@ -123,9 +138,9 @@ def canonical(table: DataFrame, key: str) -> DataFrame:
     return _exploded(table, key, turns)
 
 
-def _exploded(table: DataFrame, key: str, turns: Column) -> DataFrame:
-    rows = table.select(F.col(key).alias("conv_id"), F.posexplode(turns).alias("turn", "x"))
-    return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("x.role").alias("role"), F.col("x.text").alias("text"))
+def _exploded(table: DataFrame, key: str, turns: Column, *more: Column) -> DataFrame:
+    rows = table.select(F.col(key).alias("conv_id"), *more, F.posexplode(turns).alias("turn", "x"))
+    return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("x.role").alias("role"), F.col("x.text").alias("text"), *rows.columns[1:-2])
 
 
 def json_fingerprint(record: Column) -> Column:
@@ -140,10 +155,11 @@ def json_fingerprint(record: Column) -> Column:
 
 
 def canonical_json(table: DataFrame, key: str, record: str) -> DataFrame:
-    """conv_id, turn, role, text from JSON records of mixed layouts, each by its own fingerprint."""
+    """conv_id, turn, role, text, mapping (the layout's name) from JSON records of mixed layouts, each
+    by its own fingerprint. Records without a mapping come as one turn of role record."""
     json, mark = F.col(record), json_fingerprint(F.col(record))
-    turns = None
-    for print_, (_, mapping) in MAPPINGS.items():
+    turns = used = None
+    for print_, (layout, mapping) in MAPPINGS.items():
         if "columns" in mapping:
             one = _columns(mapping, lambda name: F.get_json_object(json, f"$.{name}"))
         elif "list" in mapping:
@@ -154,7 +170,9 @@ def canonical_json(table: DataFrame, key: str, record: str) -> DataFrame:
             continue
         one = one.cast(TURNS)
         turns = F.when(mark == print_, one) if turns is None else turns.when(mark == print_, one)
-    return _exploded(table, key, turns)
+        used = F.when(mark == print_, layout) if used is None else used.when(mark == print_, layout)
+    whole = F.array(F.struct(F.lit("record").alias("role"), json.alias("text"))).cast(TURNS)
+    return _exploded(table, key, F.coalesce(turns, whole), F.when(turns.isNotNull(), used).alias("mapping"))
 
 
 def format_turns(turns: DataFrame) -> DataFrame:

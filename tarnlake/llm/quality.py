@@ -90,7 +90,9 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     run = np.repeat(np.arange(len(texts)), count).astype(np.uint64)
     for j in range(RUN):
         run = mix(run + np.concatenate((w.hash[j:], np.zeros(min(j, len(w.hash)), np.uint64))))
-    columns.append(mean(repeated(run)))
+    # a run that would reach into the next text isn't one
+    whole = np.arange(len(run)) + RUN <= np.repeat(w.first[1:], count)
+    columns.append(mean(repeated(run) & whole))
     columns += [np.log1p(count[owner]) / 5, np.log1p(n) / 4]
     return np.stack(columns, 1) * some[:, None], doc
 

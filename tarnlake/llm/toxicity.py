@@ -31,12 +31,10 @@ from tarnlake.llm.vectors import chunks
 
 BUCKETS = 1 << 17
 DIMS = 8
-PASSAGE = 4
+PASSAGE = 2
 MOST = 1000
-#: Subwords in fewer texts of the sample aren't learned.
-SEEN = 3
 #: Steps of the embeddings, in units of their gradient's mean size: frequent subwords move more.
-RATE = 0.05
+RATE = 0.01
 #: ASCII punctuation parts words as white space does.
 PART = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
@@ -84,7 +82,7 @@ def passage_logits(weights: np.ndarray, bias: float, bucket: np.ndarray, start:
     return sums(weights[bucket], start) / np.maximum(1, np.diff(start)) + bias
 
 
-def train(rows: list[tuple[bytes, int]], share: float, epochs: int = 45, seed: int = 5) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[bytes, int]], share: float, epochs: int = 90, seed: int = 5) -> tuple[np.ndarray, float]:
     """One weight for each bucket and a bias: a passage's logit is its subwords' mean weight + bias."""
     y = np.array([label for _, label in rows], np.float64)
     share = min(max(share, 1e-4), 1 - 1e-4)
@@ -97,10 +95,11 @@ def train(rows: list[tuple[bytes, int]], share: float, epochs: int = 45, seed: i
     soft = rng.normal(0, 0.3, (DIMS, 2))  # the softmax layer; only the difference of its columns acts
     bias = np.zeros(2)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (emb, soft, bias)]
-    # a subword of one or two texts says nothing of others: it keeps no weight
-    spread = sum(np.bincount(np.unique(bucket[start[a]:start[b]]), minlength=BUCKETS) for _, bucket, start, doc in parts for a, b in zip(doc[:-1], doc[1:], strict=True))
-    common = spread >= SEEN
-    emb[~common] = 0
+    # what no text of the sample holds keeps no weight
+    known = np.zeros(BUCKETS, bool)
+    for _, bucket, _, _ in parts:
+        known[bucket] = True
+    emb[~known] = 0
     balance = 0.5 / max(1, (1 - y).sum()), 0.5 / max(1, y.sum())
     for step in range(1, epochs + 1):
         lean = soft[:, 1] - soft[:, 0]
@@ -119,7 +118,6 @@ def train(rows: list[tuple[bytes, int]], share: float, epochs: int = 45, seed: i
             taken = np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)
             coef += np.bincount(bucket[taken], np.repeat(error / np.maximum(1, n), n), BUCKETS)
             slope += error.sum()
-        coef[~common] = 0
         pull = emb.T @ coef
         grads = [np.outer(coef, lean) + 1e-7 * emb, np.stack([-pull, pull], 1) + 1e-5 * soft, np.array([-slope, slope])]
         for x, g, m, rate in zip((emb, soft, bias), grads, moments, (RATE, 0.02, 0.05), strict=True):

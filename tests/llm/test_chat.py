@@ -41,6 +41,8 @@ def test_layouts(spark):
         spark.createDataFrame([(1, [("human", "q"), ("gpt", "a")])], "id long, conversations array<struct<`from`:string,value:string>>"),
         spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "id long, turn long, role string, text string"),
     ]
+    extra = {n: F.lit("x") for n in ("input", "prompt", "system")}
+    tables += [tables[5].withColumns(extra), tables[3].withColumns({"output": F.lit(1), "prompt": F.lit("x")})]
     for t in tables:
         got = chat.canonical(t, "id").orderBy("turn").collect()
         assert [(r.conv_id, r.role, r.text) for r in got] == [(1, *x) for x in turns]
@@ -54,11 +56,13 @@ def test_json_records(spark):
         {"messages": [{"role": "user", "content": "q"}, {"content": "a", "role": "assistant"}]}, {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, {"unknown": 1},
     ]
     table = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(50, None), (51, "not json")], "id long, record string")
-    got = {}
+    got, names = {}, {}
     for r in chat.canonical_json(table, "id", "record").orderBy("conv_id", "turn").collect():
         got.setdefault(r.conv_id, []).append((r.role, r.text))
+        names[r.conv_id] = r.mapping
     pair = [("user", "q"), ("assistant", "a")]
-    assert got == {0: pair, 1: pair, 2: [("user", "q\n\nmore"), ("assistant", "a")], 3: [("system", "s"), *pair], 4: pair, 5: pair}
+    assert got == {0: pair, 1: pair, 2: [("user", "q\n\nmore"), ("assistant", "a")], 3: [("system", "s"), *pair], 4: pair, 5: pair, 6: [("record", '{"unknown": 1}')], 50: [("record", None)], 51: [("record", "not json")]}
+    assert names == {0: "prompt", 1: "prompt", 2: "instruction", 3: "instruction_system", 4: "messages", 5: "conversations", 6: None, 50: None, 51: None}
 
 
 def test_fingerprints_ignore_order():

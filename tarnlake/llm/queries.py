@@ -166,3 +166,72 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS
   CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(cover, 0.0) END AS score
 FROM d LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN found ON found.doc_id = d.doc_id
 """
+
+
+def _tail(z: str) -> str:
+    """The battery's upper tail of the normal distribution, in SQL, of a column."""
+    t = f"(1 / (1 + 0.2316419 * abs({z})))"
+    half = f"exp(-{z} * {z} / 2) * 0.3989422804014327 * ({t} * (0.31938153 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429)))))"
+    return f"(CASE WHEN {z} >= 0 THEN {half} ELSE 1 - {half} END)"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _encoding(column: Callable[[tuple], str]) -> str:
+    """A value of each encoding in SQL, by the form of body."""
+    cases = [f"WHEN regexp_matches(body, {_quoted(e[0])}) THEN {column(e)}" for e in secrets.ENCODINGS.values()]
+    return f"CASE {' '.join(cases)} END"
+
+
+_BASE_MATCHES = {
+    # the contract's patterns; letters in either case are written out, as (?i) would fold others too
+    "assign": (r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    "access": ("AKIA[A-Z0-9]+", 0, 16),
+    "hex": ("[0-9a-f]+", 0, 32),
+    "random": ("[A-Za-z0-9+/_-]{16,}={0,2}", 0, 16),
+}
+_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, {least} AS least, unnest(range(1, len(ms) + 1)) AS i, unnest(gaps) AS gap, unnest(ms) AS m, unnest(gs) AS g FROM (SELECT doc_id, string_split_regex(t, {_quoted(p)}) AS gaps, regexp_extract_all(t, {_quoted(p)}) AS ms, regexp_extract_all(t, {_quoted(p)}, {group}) AS gs FROM d)"
+    for rank, (kind, (p, group, least)) in enumerate(_BASE_MATCHES.items(), 1)
+)
+_STRATA = ", ".join(f"({i}, {s})" for i, s in enumerate(secrets.STRATA))
+
+ORACLES["op7_secrets"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+strata(stratum, size) AS (VALUES {_STRATA}),
+found AS ({_FOUND}),
+placed AS (SELECT doc_id, kind, rank, m, length(g) >= least AS good, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM found WHERE i IS NOT NULL),
+spans AS (SELECT doc_id, kind, rank, m, CAST(stop - length(m) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM placed WHERE good AND (kind <> 'random' OR regexp_matches(m, '[A-Za-z]'))),
+solid AS (SELECT regexp_replace(t, {_quoted(secrets.NOT_TEXT)}, '', 'g') AS s, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) AS place FROM d
+  UNION ALL SELECT regexp_replace({_quoted(secrets.PROSE)}, {_quoted(secrets.NOT_TEXT)}, '', 'g'), unnest(range(length({_quoted(secrets.PROSE)})))),
+strings AS (SELECT doc_id, start, stop, (SELECT max(stratum) FROM strata WHERE size <= length(m)) AS stratum, m AS s FROM spans WHERE kind = 'random'
+  UNION ALL SELECT NULL, NULL, NULL, stratum, substr(s, place % (length(s) - size + 1) + 1, size) FROM solid JOIN strata ON length(s) >= size),
+bodies AS (SELECT * EXCLUDE (s), rtrim(translate(s, '-_', '+/'), '=') AS body FROM strings),
+coded AS (SELECT *, {_encoding(lambda e: 'body' if e[1] != e[1].lower() else 'lower(body)')} AS own, {_encoding(lambda e: _quoted(e[1]))} AS alphabet, {_encoding(lambda e: f'{e[2][0]}')} AS k1, {_encoding(lambda e: f'{e[2][1]}')} AS k2 FROM bodies),
+ats AS (SELECT * EXCLUDE (own, body, alphabet), CAST(length(alphabet) AS DOUBLE) AS size, CAST(length(own) AS DOUBLE) AS n, list_transform(string_split(own, ''), lambda c: strpos(alphabet, c)) AS places FROM coded),
+sums AS (SELECT * EXCLUDE (places), CAST(list_sum(list_transform(list_distinct(places), lambda v: len(list_filter(places, lambda x: x = v)) * (len(list_filter(places, lambda x: x = v)) - 1) / 2)) AS DOUBLE) AS pairs,
+  CAST(list_sum(places) AS DOUBLE) AS total, CAST(list_sum(list_transform(places, lambda v: v * v)) AS DOUBLE) AS squares, CAST(list_sum(list_transform(range(1, len(places)), lambda i: places[i] * places[i + 1])) AS DOUBLE) AS products,
+  CAST(len(list_filter(places, lambda v: v * 2 > size)) AS DOUBLE) AS n1, CAST(len(list_filter(range(1, len(places)), lambda i: (places[i] * 2 > size) <> (places[i + 1] * 2 > size))) AS DOUBLE) AS changes,
+  CAST(len(list_filter(places, lambda v: v <= k1)) AS DOUBLE) AS c1, CAST(len(list_filter(places, lambda v: v > k1 AND v <= k1 + k2)) AS DOUBLE) AS c2, places[1] + places[-1] AS ends FROM ats),
+terms AS (SELECT *, n * (n - 1) / (2 * size) AS mean, n * k1 / size AS e1, n * k2 / size AS e2, n - n1 AS n2, 2 * n1 * (n - n1) / n + 1 AS expected, total / n AS middle, squares - n * (total / n) * (total / n) AS square FROM sums),
+more_terms AS (SELECT *, n - e1 - e2 AS e3, n - c1 - c2 AS c3, products - middle * (2 * total - ends) + (n - 1) * middle * middle AS crossed, sqrt(greatest((expected - 1) * (expected - 2) / (n - 1), 1e-9)) AS spread FROM terms),
+chis AS (SELECT *, (c1 - e1) * (c1 - e1) / e1 + (c3 - e3) * (c3 - e3) / e3 AS one FROM more_terms),
+zs AS (SELECT *, (pairs - mean) / sqrt(mean * (1 - 1 / size)) AS z1, sqrt(one) AS z2, abs(changes + 1 - expected) / spread AS z3, abs((crossed / CASE WHEN square < 1e-6 THEN 1 ELSE square END + 1 / n) * sqrt(n)) AS z4 FROM chis),
+ps AS (SELECT *, {_tail('z1')} AS p1, CASE WHEN k2 > 0 THEN exp(-(one + (c2 - e2) * (c2 - e2) / greatest(e2, 1e-9)) / 2) ELSE 2 * {_tail('z2')} END AS p2,
+  CASE WHEN n1 = 0 OR n2 = 0 THEN pow(2.0, 1 - n) ELSE 2 * {_tail('z3')} END AS p3, CASE WHEN square < 1e-6 THEN 0.0 ELSE 2 * {_tail('z4')} END AS p4 FROM zs),
+halves AS (SELECT *, -({' + '.join(f'ln(greatest(least(p{i}, 1.0), 1e-40))' for i in (1, 2, 3, 4))}) AS h FROM ps),
+steps AS (SELECT doc_id, start, stop, stratum, least({secrets.STEPS - 1}, CAST(floor(-log10(greatest(least(1.0, exp(-h) * (1 + h + h * h / 2 + h * h * h / 6)), 1e-38)) * 10) AS INT)) AS step FROM halves),
+bins AS (SELECT stratum, step, count(start) AS n, count(*) - count(start) AS texts FROM steps GROUP BY stratum, step),
+ranks AS (SELECT stratum, step, n, sum(n) OVER o AS rank, 1 + sum(texts) OVER o AS alike, sum(n) OVER (PARTITION BY stratum) AS tokens, 1 + sum(texts) OVER (PARTITION BY stratum) AS null_texts FROM bins WINDOW o AS (PARTITION BY stratum ORDER BY step)),
+limits AS (SELECT stratum, max(step) AS last FROM ranks WHERE n > 0 AND alike / null_texts <= {secrets.LEVEL} * rank / tokens GROUP BY stratum),
+base AS (SELECT * FROM spans WHERE kind <> 'random'),
+random AS (SELECT s.doc_id, 'random' AS kind, 4 AS rank, s.start, s.stop FROM steps s JOIN limits l ON l.stratum = s.stratum AND s.step <= l.last
+  WHERE s.start IS NOT NULL AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND b.start < s.stop AND s.start < b.stop)),
+whole AS (SELECT doc_id, kind, rank, start, stop FROM base UNION ALL SELECT * FROM random),
+listed AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < 4) AS base_spans, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS spans FROM whole GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (doc_id)
+"""

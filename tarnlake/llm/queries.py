@@ -204,7 +204,8 @@ strata(stratum, size) AS (VALUES {_STRATA}),
 found AS ({_FOUND}),
 placed AS (SELECT doc_id, kind, rank, m, length(g) >= least AS good, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM found WHERE i IS NOT NULL),
 spans AS (SELECT doc_id, kind, rank, m, CAST(stop - length(m) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM placed WHERE good AND (kind <> 'random' OR regexp_matches(m, '[A-Za-z]'))),
-solid AS (SELECT regexp_replace(t, {_quoted(secrets.NOT_TEXT)}, '', 'g') AS s, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) AS place FROM d
+hashed AS (SELECT t, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) AS place FROM d),
+solid AS (SELECT regexp_replace(substr(t, place % greatest(length(t) - {secrets.STRETCH - 1}, 1) + 1, {secrets.STRETCH}), {_quoted(secrets.NOT_TEXT)}, '', 'g') AS s, place FROM hashed
   UNION ALL SELECT regexp_replace({_quoted(secrets.PROSE)}, {_quoted(secrets.NOT_TEXT)}, '', 'g'), unnest(range(length({_quoted(secrets.PROSE)})))),
 strings AS (SELECT doc_id, start, stop, (SELECT max(stratum) FROM strata WHERE size <= length(m)) AS stratum, m AS s FROM spans WHERE kind = 'random'
   UNION ALL SELECT NULL, NULL, NULL, stratum, substr(s, place % (length(s) - size + 1) + 1, size) FROM solid JOIN strata ON length(s) >= size),

@@ -43,9 +43,8 @@ MOST_LISTED = 10_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: The versions of the Creative Commons licenses, as their notices name them.
-CC_VERSIONS = ("1.0 Generic", "2.0 Generic", "2.5 Generic", "3.0 Unported", "4.0 International")
-CC_NUMBERS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+#: The versions of the Creative Commons licenses.
+CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 #: Openings and notices of well-known public licenses; of one label there may be several forms.
 TEMPLATES = {
     "mit": (
@@ -73,9 +72,10 @@ TEMPLATES = {
     "mpl": tuple(f"Licensed under the Mozilla Public License, version {v}" for v in ("1.0", "1.1")),
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",),
     "unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",),
-    "cc-by-notice": (*(f"This work is licensed under a Creative Commons Attribution {v} License" for v in CC_VERSIONS), *(f"Licensed under CC BY {v}" for v in CC_NUMBERS)),
-    "cc-by-sa-notice": ("This work is licensed under the Creative Commons Attribution ShareAlike License", *(f"This work is licensed under a Creative Commons Attribution ShareAlike {v} License" for v in CC_VERSIONS), *(f"Licensed under CC BY-SA {v}" for v in CC_NUMBERS)),
-    "cc-by-nc-notice": (*(f"This work is licensed under a Creative Commons Attribution NonCommercial {v} License" for v in CC_VERSIONS), *(f"Licensed under CC BY-NC {v}" for v in CC_NUMBERS)),
+    # short forms: a whole notice of one of these covers most of the others' words as well
+    "cc-by-notice": ("Creative Commons Attribution License", *(f"Creative Commons Attribution {v}" for v in CC_VERSIONS), *(f"Licensed under CC BY {v}" for v in CC_VERSIONS)),
+    "cc-by-sa-notice": ("Creative Commons Attribution ShareAlike", *(f"Licensed under CC BY-SA {v}" for v in CC_VERSIONS)),
+    "cc-by-nc-notice": ("Creative Commons Attribution NonCommercial", *(f"Licensed under CC BY-NC {v}" for v in CC_VERSIONS)),
     "reserved-notice": ("No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher",),
 }
 

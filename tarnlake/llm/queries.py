@@ -236,3 +236,26 @@ listed AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, c
 SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN listed USING (doc_id)
 """
+
+_PII_MATCHES = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "TRUE"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_max(list_transform(string_split(m, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 ELSE CAST('0' || ltrim(x, '0') AS INT) END)) <= 255"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", "length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda p: CASE WHEN (length(digits) - p) % 2 = 0 THEN CAST(substr(digits, p, 1) AS INT) ELSE CAST(substr(digits, p, 1) AS INT) * 2 // 10 + CAST(substr(digits, p, 1) AS INT) * 2 % 10 END)) % 10 = 0"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) BETWEEN 9 AND 15"),
+}
+_PII_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, unnest(range(1, len(ms) + 1)) AS i, unnest(gaps) AS gap, unnest(ms) AS m FROM (SELECT doc_id, string_split_regex(t, {_quoted(p)}) AS gaps, regexp_extract_all(t, {_quoted(p)}) AS ms FROM d)"
+    for rank, (kind, (p, _)) in enumerate(_PII_MATCHES.items(), 1)
+)
+
+#: SQL of the columns that don't depend on what a query has learned.
+BASE_ORACLES = {
+    "op4_pii": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_PII_FOUND}),
+placed AS (SELECT doc_id, kind, rank, m, regexp_replace(m, '[^0-9]', '', 'g') AS digits, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM found WHERE i IS NOT NULL),
+spans AS (SELECT doc_id, kind, rank, CAST(stop - length(m) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM placed WHERE CASE kind {' '.join(f"WHEN '{kind}' THEN {test}" for kind, (_, test) in _PII_MATCHES.items())} END),
+listed AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{kind}') AS n_{kind}" for kind in _PII_MATCHES)}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, {', '.join(f'CAST(coalesce(n_{kind}, 0) AS BIGINT) AS n_{kind}' for kind in _PII_MATCHES)}, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN listed USING (doc_id)
+""",
+}

@@ -11,16 +11,17 @@ allow (hex, base32, lower- or upper-case base36, base62, base64), for how well i
 
 Fisher's sum joins the p-values to one score. A discovery is a secret, so the hypothesis to reject
 is "text": its distribution of scores is that of text-like strings of the same length, in each
-stratum of lengths by itself. They are windows of running text without separators: one in a stretch
-of ``STRETCH`` characters at a hashed place of every text of the table (long tokens and words that
-the stretch cuts left out), and those of ``PROSE``, so that small tables have some too. A token's p-value is the share of text-like strings that look as random, and
+stratum of lengths by itself. They are windows of running text without separators and long tokens:
+for each stratum the whole of every text of the table, cut into one window after the other (a last
+one ends with the text), and those of ``PROSE``, so that small tables have some too. A token's p-value is the share of text-like strings that look as random, and
 Benjamini and Hochberg's procedure at level ``LEVEL`` bounds the share of text among the tokens
 that are found in a stratum. Short tokens give the tests less power, and find less. What is found
 is a secret of kind random, unless it overlaps a base span.
 
-All of it is DataFrame expressions, in time linear in a text. The
-scores are written once to the shared folder; the driver sees their histograms alone (``STEPS``
-bins for a stratum).
+All of it is DataFrame expressions, in time linear in a text. The tokens'
+scores are written once to the shared folder, those of the windows are counted as they are made; the
+driver sees the histograms alone (``STEPS`` bins for a stratum). Windows are far more than tokens:
+their sums come from bit planes, 48 characters to a number (``planes`` and ``window_sums``).
 
 Defined results: null and empty texts have no spans; repeated rows are treated alike, and their
 tokens are tested as often; other columns are ignored; an empty table gives no rows.
@@ -28,6 +29,8 @@ tokens are tested as often; other columns are ignored; an empty table gives no r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +44,17 @@ ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"[0-9a-f]{32,}+"
 #: Padding ends a token; what follows it, as a value follows its name's "=", starts another.
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
+#: What of a text windows are cut from, to stand for text: all but long tokens and separators.
+RUNNING = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{1,15}+(?![A-Za-z0-9+/_=-])"
+#: A stretch's length and what is taken out of it, its ends too: of PROSE, and in the SQL, whose
+#: text-like strings are still one window from a stretch of each text.
 STRETCH = 400
-#: What is taken out of a stretch before windows of it stand for text: what lies at its ends, long
-#: tokens and separators.
 NOT_TEXT = r"^[A-Za-z0-9+/_=-]+|[A-Za-z0-9+/_=-]+\z|[A-Za-z0-9+/_=-]{16,}|[^A-Za-z0-9]+"
 #: Least lengths of the strata; windows of text have these lengths.
 STRATA = [16, 24, 32, 48, 96]
+#: Texts are cut into pieces of this length, a multiple of every stratum's, of two halves.
+PIECE = 96
+HALF = 48
 LEVEL = 0.05
 STEPS = 400
 #: Of each encoding: its characters, its alphabet in order, and the sizes of the alphabet's first classes.
@@ -130,28 +138,45 @@ def _cross(at: Column) -> Column:
 
 def _tests(x: Column) -> Column:
     """Fisher's sum of the battery's p-values, as one value."""
+    return bind(bind(_measures(x), _half), _fisher)
+
+
+def _measures(x: Column) -> Column:
+    """The tests' statistics, of which _half makes p-values."""
     n, size, sums = x["n"], x["size"], x["sums"]
     mean = n * (n - 1) / (2 * size)
-    uniform = upper_tail((sums["pairs"] - mean) / F.sqrt(mean * (1 - 1 / size)))
     e1, e2 = n * x["first"] / size, n * x["second"] / size
     e3, c3 = n - e1 - e2, n - sums["c1"] - sums["c2"]
     one = (sums["c1"] - e1) * (sums["c1"] - e1) / e1 + (c3 - e3) * (c3 - e3) / e3
     two = one + (sums["c2"] - e2) * (sums["c2"] - e2) / F.greatest(e2, F.lit(1e-9))
-    classes = F.when(x["second"] > 0, F.exp(-two / 2)).otherwise(2 * upper_tail(F.sqrt(one)))
     n1, n2 = x["high"], n - x["high"]
     expected = 2 * n1 * n2 / n + 1
     spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9)))
-    runs = F.when((n1 == 0) | (n2 == 0), F.pow(F.lit(2.0), 1 - n)).otherwise(2 * upper_tail(F.abs(x["changes"] + 1 - expected) / spread))
     middle = sums["sum"] / n
     square = sums["square"] - n * middle * middle
     cross = x["cross"] - middle * (2 * sums["sum"] - x["a"] - x["z"]) + (n - 1) * middle * middle
-    serial = F.when(square < 1e-6, F.lit(0.0)).otherwise(2 * upper_tail(F.abs((cross / square + 1 / n) * F.sqrt(n))))
-    logs = [F.log(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-40))) for p in (uniform, classes, runs, serial)]
+    found = {
+        "uniform": (sums["pairs"] - mean) / F.sqrt(mean * (1 - 1 / size)),
+        "one": F.sqrt(one),
+        "two": F.when(x["second"] > 0, two),
+        "runs": F.when((n1 != 0) & (n2 != 0), F.abs(x["changes"] + 1 - expected) / spread),
+        "serial": F.when(square >= 1e-6, F.abs((cross / square + 1 / n) * F.sqrt(n))),
+        "n": n,
+    }
+    return F.struct(*[v.alias(k) for k, v in found.items()])
+
 
-    def fisher(half: Column) -> Column:
-        return F.least(F.lit(1.0), F.exp(-half) * (1 + half + half * half / 2 + half * half * half / 6))
+def _half(x: Column) -> Column:
+    """Minus the sum of the logarithms of the battery's p-values."""
+    classes = F.when(x["two"].isNotNull(), F.exp(-x["two"] / 2)).otherwise(2 * upper_tail(x["one"]))
+    runs = F.when(x["runs"].isNull(), F.pow(F.lit(2.0), 1 - x["n"])).otherwise(2 * upper_tail(x["runs"]))
+    serial = F.when(x["serial"].isNull(), F.lit(0.0)).otherwise(2 * upper_tail(x["serial"]))
+    logs = [F.log(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-40))) for p in (upper_tail(x["uniform"]), classes, runs, serial)]
+    return -(logs[0] + logs[1] + logs[2] + logs[3])
 
-    return bind(-(logs[0] + logs[1] + logs[2] + logs[3]), fisher)
+
+def _fisher(half: Column) -> Column:
+    return F.least(F.lit(1.0), F.exp(-half) * (1 + half + half * half / 2 + half * half * half / 6))
 
 
 def step_of(p: Column) -> Column:
@@ -180,10 +205,7 @@ def candidates(documents: DataFrame) -> DataFrame:
         stratum = sum(((F.length(x["text"]) >= s).cast("int") for s in STRATA[1:]), F.lit(0))
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), stratum.alias("stratum"), step_of(p_random(x["text"])).alias("step"))
 
-    place = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long")
-    stretch = F.substring(F.col("text"), (place % F.greatest(F.length("text") - (STRETCH - 1), F.lit(1)) + 1).cast("int"), F.lit(STRETCH))
-    windows = text_like(F.regexp_replace(stretch, NOT_TEXT, ""), place)
-    return documents.select("doc_id", text.alias("text")).select("doc_id", base.alias("base"), F.transform(tokens, tested).alias("tested"), windows.alias("windows"))
+    return documents.select("doc_id", text.alias("text")).select("doc_id", base.alias("base"), F.transform(tokens, tested).alias("tested"))
 
 
 def text_like(solid: Column, place: Column) -> Column:
@@ -198,6 +220,105 @@ def text_like(solid: Column, place: Column) -> Column:
     return F.transform(windows, lambda w: F.struct(w["stratum"].alias("stratum"), step_of(p_random(w["text"])).alias("step")))
 
 
+def running_windows(documents: DataFrame) -> DataFrame:
+    """stratum and step of all windows of all texts: for each stratum a text is cut into windows of its
+    length from the start on, and a rest too short for one is in a window that ends with the text."""
+    size = F.length("solid")
+    ends = [F.when((size >= s) & (size % s != 0), F.struct(F.lit(i).alias("only"), F.expr(f"right(solid, {s})").alias("w"))) for i, s in enumerate(STRATA)]
+    pieces = F.transform(F.regexp_extract_all("solid", F.lit(f".{{1,{PIECE}}}"), F.lit(0)), lambda w: F.struct(F.lit(-1).alias("only"), w.alias("w")))
+    # explode would be given filters that make the array again
+    words = F.regexp_extract_all("text", F.lit(RUNNING), F.lit(0))
+    cut = documents.select(F.translate(F.array_join(words, ""), "+/_=-", "").alias("solid")).select(F.explode_outer(F.concat(pieces, F.array(*ends))).alias("x")).where("x is not null")
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("stratum"), F.lit(s).alias("size"), F.lit(start).alias("start")) for i, s in enumerate(STRATA) for start in range(0, PIECE, s)]))
+    every = planes(cut.select("x.only", "x.w")).select("*", at.alias("at")).select("*", "at.*").where("(only < 0 and start + size <= length) or (only = stratum and start = 0)")
+    scored = window_sums(every)
+    for name, f in (("x", _measures), ("x", _half), ("x", _fisher), ("step", step_of)):
+        scored = scored.select(F.expr(_alone("stratum")), f(F.col("x")).alias(name))
+    return scored
+
+
+def _alone(name: str) -> str:
+    """A column as it is, by a lambda, which keeps its projection out of the code that Spark makes of
+    several operators at once: Java doesn't compile methods as large as that of all these sums."""
+    return f"get(transform(array({name}), v -> v), 0) AS {name}"
+
+
+def planes(pieces: DataFrame) -> DataFrame:
+    """only, length, and the seven bits of the ASCII letters and digits of w (PIECE at most): lo0 to
+    lo6 are of its first HALF, hi0 to hi6 of the others, the first character in the highest bit.
+    Eight characters are a number of eight bytes, whose bits are transposed in three steps."""
+    blocks = range(PIECE // 8)
+    out = pieces.selectExpr("only", "length(w) AS length", f"hex(rpad(w, {PIECE}, '0')) AS h").selectExpr(_alone("only"), "length", *[f"coalesce(cast(conv(substring(h, {16 * k + 1}, 16), 16, 10) AS bigint), 0L) AS x{k}" for k in blocks])
+    for n, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0xF0F0F0F0)):
+        swap = [f"((x{k} ^ shiftrightunsigned(x{k}, {n})) & {mask}L)" for k in blocks]
+        out = out.selectExpr(_alone("only"), "length", *[f"x{k} ^ {t} ^ shiftleft({t}, {n}) AS x{k}" for k, t in enumerate(swap)])
+    n = HALF // 8
+    return out.selectExpr(_alone("only"), "length", *[" | ".join(f"shiftleft(shiftrightunsigned(x{first + k}, {8 * b}) & 255L, {8 * (n - 1 - k)})" for k in range(n)) + f" AS {name}{b}" for name, first in (("lo", 0), ("hi", n)) for b in range(7)])
+
+
+def window_sums(every: DataFrame) -> DataFrame:
+    """stratum and x, what the tests need of the window of size characters from start on: the same
+    whole numbers as _counted's, by counting bits. A window has its bits in a0 to a6, those of more
+    than HALF characters the later ones in b0 to b6. Bits 0 to 4 of a letter are its place in the
+    alphabet, those of a digit 16 more than it; a place in the encoding's alphabet is that number
+    plus o, plus d for a digit, plus e for what isn't a capital; ends and seam are without o."""
+    full, right = (1 << HALF) - 1, f"({PIECE} - start - size)"
+    mask = f"(shiftleft(1L, size) - 1L)"
+    a = [f"CASE WHEN size > {HALF} THEN lo{b} WHEN {right} >= {HALF} THEN shiftrightunsigned(lo{b}, {right} - {HALF}) & {mask} ELSE (shiftleft(lo{b}, {HALF} - {right}) | shiftrightunsigned(hi{b}, {right})) & {mask} END AS a{b}" for b in range(7)]
+    out = every.selectExpr(_alone("stratum"), "size", f"least(size, {HALF}) AS wide", f"CASE WHEN size > {HALF} THEN {full}L ELSE {mask} END AS am", f"CASE WHEN size > {HALF} THEN {full}L ELSE 0L END AS bm", *a, *[f"CASE WHEN size > {HALF} THEN hi{b} ELSE 0L END AS b{b}" for b in range(7)])
+    for h in "ab":  # capitals, small letters, digits, all but capitals
+        out = out.selectExpr("*", f"{h}6 & ~{h}5 AS {h}u", f"{h}6 & {h}5 AS {h}l", f"{h}m & ~{h}6 AS {h}d", f"{h}m & ({h}5 | ~{h}6) AS {h}e")
+
+    def none(bits: str) -> str:
+        return f"({' | '.join('(' + bits.replace('@', h) + ')' for h in 'ab')}) = 0"
+
+    one_case = f"({none('@u')} OR {none('@l')})"
+    out = out.selectExpr("*", f"CASE WHEN {none('@6 & (@4 | @3 | (@2 & @1 & @0))')} AND {one_case} THEN 16 WHEN {none('@l')} AND {none('@d & (@3 | ~(@2 | @1))')} THEN 32 WHEN {one_case} THEN 36 ELSE 62 END AS code")
+    above = "CASE code WHEN 62 THEN @d | (@l & (@4 | @3 | (@2 & @1))) WHEN 36 THEN @d | (@6 & @4 & (@3 | @2 | (@1 & @0))) WHEN 32 THEN @d | (@6 & @4 & (@3 | @2 | @1 | @0)) ELSE @6 | (@d & @3) END AS @h"
+    out = out.selectExpr("*", *[above.replace("@", h) for h in "ab"], "CASE code WHEN 16 THEN 10 ELSE 0 END AS o", "CASE code WHEN 16 THEN -25 WHEN 32 THEN 9 ELSE 11 END AS d", "CASE code WHEN 62 THEN 26 ELSE 0 END AS e")
+
+    def count(bits: str) -> str:
+        return f"(bit_count({bits.replace('@', 'a')}) + bit_count({bits.replace('@', 'b')}))"
+
+    def symbol(kind: str, low: int, bits: int) -> str:
+        return count(" & ".join([f"@{kind}"] + [f"@{b}" if low >> b & 1 else f"~@{b}" for b in range(bits)]))
+
+    def next_to(first: str, second: str) -> str:
+        return count(f"@{first} & shiftrightunsigned(@{second}, 1)")
+
+    def weighed(of: Callable[[int], str]) -> str:
+        return " + ".join(f"{1 << b} * {of(b)}" for b in range(5))
+
+    def place(h: str, at: str) -> str:
+        bit = lambda k: f"(shiftrightunsigned({h}{k}, {at}) & 1L)"
+        return f"({weighed(bit)} + d * {bit('d')} + e * {bit('e')})"
+
+    symbols = [symbol(k, v, 5) for k in "ul" for v in range(1, 27)] + [symbol("d", v, 4) for v in range(10)]
+    sums = {"s": weighed(lambda b: count(f"@{b}")), "sd": weighed(lambda b: count(f"@{b} & @d")), "se": weighed(lambda b: count(f"@{b} & @e")), "ss": " + ".join(f"{(1 + (b < c)) << b + c} * {count(f'@{b} & @{c}')}" for b in range(5) for c in range(b, 5))}
+    sums |= {f"n{k}": count(f"@{k}") for k in "ulde"}
+    # with more than 100 columns Spark makes small methods of them, which Java compiles
+    sums |= {f"c{b}{c}": next_to(b, c) for b in range(5) for c in range(5)}
+    sums |= {f"c{b}{k}": f"{next_to(b, k)} + {next_to(k, b)}" for b in range(5) for k in "de"} | {"cdd": next_to("d", "d"), "cee": next_to("e", "e"), "cde": f"{next_to('d', 'e')} + {next_to('e', 'd')}"}
+    sums |= {"high": count("@h"), "changes": f"bit_count((ah ^ shiftrightunsigned(ah, 1)) & shiftrightunsigned(am, 1)) + bit_count((bh ^ shiftrightunsigned(bh, 1)) & shiftrightunsigned(bm, 1)) + CASE WHEN size > {HALF} THEN (ah ^ shiftrightunsigned(bh, {HALF - 1})) & 1L ELSE 0L END"}
+    sums |= {"ends": f"{place('a', 'wide - 1')} + CASE WHEN size > {HALF} THEN {place('b', '0')} ELSE {place('a', '0')} END", "seam": f"CASE WHEN size > {HALF} THEN {place('a', '0')} * {place('b', str(HALF - 1))} ELSE 0L END"}
+    out = out.selectExpr("stratum", "size", "code", "o", "d", "e", *[f"{v} AS {k}" for k, v in sums.items()], *[f"{v} AS n{i}" for i, v in enumerate(symbols)])
+    plain = "(s + d * nd + e * ne)"
+    cross = f"{' + '.join(f'{1 << b + c} * c{b}{c}' for b in range(5) for c in range(5))} + {' + '.join(f'{1 << b} * {k} * c{b}{k}' for b in range(5) for k in 'de')} + d * d * cdd + e * e * cee + d * e * cde + seam"
+    found = {
+        "pairs": f"({' + '.join(f'n{i} * (n{i} - 1)' for i in range(len(symbols)))}) / 2",
+        "sum": f"{plain} + o * size",
+        "square": f"ss + 2 * (d * sd + e * se + d * e * nd) + d * d * nd + e * e * ne + 2 * o * {plain} + o * o * size",
+        "c1": "CASE code WHEN 62 THEN nu WHEN 16 THEN nd ELSE nu + nl END",
+        "c2": "CASE code WHEN 62 THEN nl ELSE 0 END",
+        "cross": f"{cross} + o * (2 * {plain} - ends) + (size - 1) * o * o",
+        "ends": "ends + 2 * o",
+    }
+    out = out.selectExpr("stratum", "size", "code", "high", "changes", *[f"CAST({v} AS double) AS {k}" for k, v in found.items()])
+    names = ["pairs", "sum", "square", "c1", "c2"]
+    others = [F.col("cross"), *[F.col(k).cast("double").alias(k) for k in ("changes", "high")], F.col("size").cast("double").alias("n"), F.col("code").cast("double").alias("size"), F.expr("CASE code WHEN 16 THEN 10 ELSE 26 END AS first"), F.expr("CASE code WHEN 62 THEN 26 ELSE 0 END AS second"), F.col("ends").alias("a"), F.lit(0.0).alias("z")]
+    return out.select("stratum", F.struct(F.struct(*names).alias("sums"), *others).alias("x"))
+
+
 def first_text(tokens: dict[tuple[int, int], int], texts: dict[tuple[int, int], int], level: float = LEVEL) -> dict[int, int]:
     """For each stratum the first bin that isn't found (0: nothing is). tokens and texts: numbers of
     tested tokens and of text-like strings by (stratum, bin). A token's p-value is the share of
@@ -223,7 +344,7 @@ def find(documents: DataFrame) -> DataFrame:
     solid = F.regexp_replace(F.lit(PROSE), NOT_TEXT, "")
     fixed = spark.range(len(PROSE)).select(F.explode(text_like(solid, F.col("id"))).alias("x"), F.lit(False).alias("token"))
     own = held.select(F.explode("tested").alias("x")).select(F.struct("x.stratum", "x.step").alias("x"), F.lit(True).alias("token"))
-    texts = held.select(F.explode("windows").alias("x"), F.lit(False).alias("token")).unionAll(fixed)
+    texts = running_windows(documents).select(F.struct("stratum", "step").alias("x"), F.lit(False).alias("token")).unionAll(fixed)
     counts = own.unionAll(texts).groupBy("token", "x.stratum", "x.step").agg(F.count("*").alias("n")).collect()
     found = first_text(*[{(r.stratum, r.step): r.n for r in counts if r.token == token} for token in (True, False)])
     limit = F.array(*[F.lit(found[s]) for s in range(len(STRATA))])

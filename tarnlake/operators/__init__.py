@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 from tarnlake.errors import PlanError
 from tarnlake.functions import Aggregate, default_name, expression
 
+#: Rows of a table that ``deal`` gives to a task, more or less.
+TASK_ROWS = 250_000
+
 
 def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None, predicate: str | Column | None = None, alias: str | None = None) -> DataFrame:
     """A Parquet table. Columns and predicate reach the reader by column pruning and pushdown."""
@@ -56,6 +59,17 @@ def join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str | Column, str
     return left.join(right, condition, how)
 
 
+def deal(df: DataFrame, *keys: str) -> DataFrame:
+    """A table for joins and groups by the same keys, where one task holds the sorts of both sides
+    and the groups at a time: dealt by the keys over so many tasks that each gets about TASK_ROWS,
+    whatever the session's number of partitions, and not broadcast (Spark goes by the size of the
+    files, which says little of that in memory). Rows are counted from the footers."""
+    rows = df.count()
+    if rows <= TASK_ROWS:
+        return df
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys).hint("merge")
+
+
 def aggregate(df: DataFrame, keys: Sequence[str | Column | tuple[str | Column, str]], aggregates: Sequence[Aggregate]) -> DataFrame:
     """Grouped by keys, or global without any (then one row, even of no rows). NULL arguments
     are skipped, NULL keys are a group."""
@@ -97,4 +111,4 @@ def distinct(df: DataFrame, *columns: str) -> DataFrame:
     return (df.select(*columns) if columns else df).distinct()
 
 
-__all__ = ["aggregate", "distinct", "empty", "filter_rows", "join", "limit", "project", "scan", "sort", "top_k", "union_all"]
+__all__ = ["aggregate", "deal", "distinct", "empty", "filter_rows", "join", "limit", "project", "scan", "sort", "top_k", "union_all"]
